@@ -1,0 +1 @@
+"""Nothing here: every input of this library is a stored table, so there is no stream to read."""
