@@ -69,18 +69,18 @@ def pad_days(daily: DataFrame) -> DataFrame:
     Each row fills the gap up to the next row, so the calendar is made in place
     and nothing is joined.
     """
-    following = F.lead(DAY).over(in_order())
-    last = F.coalesce(F.date_sub(following, 1), F.col(DAY))
-    days = daily.withColumn("_day", F.explode(F.sequence(F.col(DAY), last)))
+    days = daily.withColumn("_next", F.lead(DAY).over(in_order()))
+    last = F.coalesce(F.date_sub("_next", 1), F.col(DAY))
+    days = days.withColumn("_day", F.explode(F.sequence(F.col(DAY), last)))
     value = F.when(F.col("_day") == F.col(DAY), F.col(VALUE)).otherwise(F.lit(0))
     return days.select(SERIES, F.col("_day").alias(DAY), value.alias(VALUE))
 
 
 def extend_days(daily: DataFrame, days: int) -> DataFrame:
     """History plus `days` future days after each series' own last day, value null."""
-    following = F.lead(DAY).over(in_order())
-    end = F.when(following.isNull(), F.date_add(DAY, days)).otherwise(F.col(DAY))
-    longer = daily.withColumn("_day", F.explode(F.sequence(F.col(DAY), end)))
+    longer = daily.withColumn("_next", F.lead(DAY).over(in_order()))
+    end = F.when(F.col("_next").isNull(), F.date_add(DAY, days)).otherwise(F.col(DAY))
+    longer = longer.withColumn("_day", F.explode(F.sequence(F.col(DAY), end)))
     value = F.when(F.col("_day") == F.col(DAY), F.col(VALUE))
     return longer.select(SERIES, F.col("_day").alias(DAY), value.alias(VALUE))
 

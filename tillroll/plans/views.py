@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.text import (
@@ -182,7 +182,7 @@ def offer_table(offers: DataFrame, titles: bool = False) -> DataFrame:
 
 def forecast_view(
     forecast: DataFrame,
-    models: DataFrame,
+    chosen: Column,
     first_day: date,
     horizon: int = 90,
     days: int = 90,
@@ -190,13 +190,11 @@ def forecast_view(
 ) -> DataFrame:
     """Recent history and forecast of every series, each with the model chosen for it.
 
-    forecast: series, model_desc, key, invoice_date, value. models: series,
-    chosen (a row per series, from the settings).
+    forecast: series, model_desc, key, invoice_date, value. chosen: the
+    model_desc to show, as an expression over the series.
     """
     days, months = clamp_view(days, months)
-    picked = forecast.join(models, SERIES).filter(
-        (F.col("key") == "actual") | (F.col("model_desc") == F.col("chosen"))
-    )
+    picked = forecast.filter((F.col("key") == "actual") | (F.col("model_desc") == chosen))
     daily = picked.groupBy(SERIES, "model_desc", "key", DAY).agg(F.sum("value").alias("value"))
     kept = display_tail(daily, horizon, days, months, first_day, [SERIES])
     period = F.when(F.col("key") == "actual", F.lit(f"Trailing {months} Months")).otherwise(
