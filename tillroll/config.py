@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import date
 
 
@@ -39,7 +39,6 @@ class Settings:
     # Forecast shown per series: the home market uses one model, the rest another.
     home_model: str = "BOOST - Tuned"
     other_model: str = "ENSEMBLE (MEAN): 4 MODELS"
-    facets: dict = field(default_factory=dict)
 
 
 # The cut-off day, countries left out, and days repaired in the
@@ -64,6 +63,10 @@ STAR = Settings(
     home_country="NATION_1",
     excluded_countries=("NATION_21", "NATION_22", "NATION_23", "NATION_24"),
     view_start=date(2000, 9, 1),
+    # A smaller search than the default, so that a registered question ends in minutes.
+    tune_candidates=3,
+    tune_folds=3,
+    forest_trees=50,
     repair_windows=(
         RepairWindow("All Others", date(1995, 1, 1), date(1996, 12, 31)),
         RepairWindow("NATION_1", date(1995, 1, 1), date(1996, 12, 31)),

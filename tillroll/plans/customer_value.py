@@ -44,13 +44,9 @@ def fit_probability(train: DataFrame, settings: Settings) -> PipelineModel:
     data = train.withColumn("label", F.col("spend_90_flag").cast("double"))
     gather = VectorAssembler(inputCols=FEATURES, outputCol="prob_features")
     boost = GBTClassifier(
-        featuresCol="prob_features",
-        predictionCol="pred_flag",
-        probabilityCol="pred_probability",
-        rawPredictionCol="pred_raw",
-        seed=settings.seed,
-        **BOOST,
+        featuresCol="prob_features", predictionCol="pred_flag", seed=settings.seed, **BOOST
     )
+    boost.setProbabilityCol("pred_probability").setRawPredictionCol("pred_raw")
     return Pipeline(stages=[gather, boost]).fit(data)
 
 
