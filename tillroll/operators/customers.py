@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import date
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.config import Settings
-from tillroll.operators.split import is_train_customer
+from tillroll.operators.split import TimeBounds, is_train_customer
 
 FEATURES = ["recency", "frequency", "sales_sum", "sales_mean"]
 
 
-def rfm(sales: DataFrame, reference_day: Column) -> DataFrame:
+def rfm(sales: DataFrame, reference_day: date) -> DataFrame:
     """Recency (days from the reference day, so 0 or less), line count, and sales per customer."""
     return (
         sales.groupBy("customer_id")
@@ -22,7 +24,7 @@ def rfm(sales: DataFrame, reference_day: Column) -> DataFrame:
         )
         .select(
             "customer_id",
-            F.datediff("last_day", reference_day).alias("recency"),
+            F.datediff("last_day", F.lit(reference_day)).alias("recency"),
             "frequency",
             "sales_sum",
             (F.col("sales_sum").cast("double") / F.col("frequency")).alias("sales_mean"),
@@ -30,13 +32,13 @@ def rfm(sales: DataFrame, reference_day: Column) -> DataFrame:
     )
 
 
-def customer_features(sales: DataFrame, bounds: Column, settings: Settings) -> DataFrame:
+def customer_features(sales: DataFrame, bounds: TimeBounds, settings: Settings) -> DataFrame:
     """Features up to the cut and spend after it, for every customer with a line up to the cut.
 
     Both sides of the cut come out of one aggregation, so no join of features
     to outcomes is needed; a customer without later lines gets 0 and flag 0.
     """
-    before = F.col("invoice_date") <= bounds["cut_day"]
+    before = F.col("invoice_date") <= F.lit(bounds.cut_day)
     after = ~before
     folded = sales.groupBy("customer_id").agg(
         F.max(F.when(before, F.col("invoice_date"))).alias("last_day"),
@@ -49,7 +51,7 @@ def customer_features(sales: DataFrame, bounds: Column, settings: Settings) -> D
         folded.filter(F.col("frequency") > 0)
         .select(
             "customer_id",
-            F.datediff("last_day", bounds["reference_day"]).alias("recency"),
+            F.datediff("last_day", F.lit(bounds.reference_day)).alias("recency"),
             "frequency",
             "sales_sum",
             (F.col("sales_sum").cast("double") / F.col("frequency")).alias("sales_mean"),

@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from tillroll.operators.ordering import running_totals
 
 
-def mae(actual: Column, predicted: Column) -> Column:
-    return F.avg(F.abs(actual - predicted))
-
-
 def forecast_metrics(
     pairs: DataFrame, keys: Sequence[str], series: str = "series", day: str = "invoice_date"
 ) -> DataFrame:
@@ -47,20 +43,28 @@ def shown(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
     return metrics.select(*keys, "mae", "mase", "rmse", "rsq").orderBy("rmse", *keys)
 
 
-def _by_score(scored: DataFrame, label: str, score: str) -> DataFrame:
+def _by_score(scored: DataFrame, label: str, score: str, *more: Column) -> DataFrame:
     """One row per distinct score: positives, negatives."""
     return scored.groupBy(F.col(score).alias("score")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"),
         F.sum(1 - F.col(label).cast("long")).alias("neg"),
+        *more,
     )
 
 
-def roc_auc(scored: DataFrame, label: str, score: str) -> DataFrame:
-    """Area under the ROC curve by rank sum; equal scores count half."""
-    ranked = running_totals(_by_score(scored, label, score), ["score"], ["neg"])
+def spend_and_flag_metrics(
+    scored: DataFrame, actual: Column, predicted: Column, label: str, score: str
+) -> DataFrame:
+    """mae of an amount and roc_auc of a flag, in one pass over the scored rows.
+
+    The area is the rank sum; equal scores count half.
+    """
+    errors = F.sum(F.abs(actual - predicted)).alias("errors")
+    ranked = running_totals(_by_score(scored, label, score, errors), ["score"], ["neg"])
     won = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2))
     return ranked.agg(
-        F.try_divide(won, (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc")
+        (F.sum("errors") / F.sum(F.col("pos") + F.col("neg"))).alias("mae"),
+        F.try_divide(won, (F.sum("pos") * F.sum("neg")).cast("double")).alias("roc_auc"),
     )
 
 

@@ -41,6 +41,7 @@ def running_totals(
 
 def number_rows(df: DataFrame, series: str, day: str, name: str = "row_id") -> DataFrame:
     """Number all rows 1.. by series, then day: numbers within a series plus the rows ahead of it."""
+    df = stage(df, "to-number")
     counts = df.groupBy(series).agg(F.count(F.lit(1)).alias("n"))
     ahead = running_totals(counts, [series], ["n"]).select(series, "before_n")
     within = F.row_number().over(Window.partitionBy(series).orderBy(day))

@@ -10,8 +10,8 @@ from tillroll.operators.similarity import (
     class_neighbours,
     group_baskets,
     slot_neighbours,
-    user_items,
 )
+from tillroll.session import stage
 
 
 def opportunities(sales: DataFrame, settings: Settings, new_only: bool = False) -> DataFrame:
@@ -20,14 +20,17 @@ def opportunities(sales: DataFrame, settings: Settings, new_only: bool = False)
     new_only leaves out items the customer already has: the recommendation.
     Customers with equal baskets and equal neighbours get one list, made once.
     """
-    baskets = group_baskets(user_items(sales), settings.n_closest)
-    lists = slot_neighbours(baskets, class_neighbours(baskets, settings))
-
     bought = sales.groupBy("customer_id", "stock_code", "description").agg(
         F.count(F.lit(1)).alias("lines"),
+        F.count(F.when(F.col("quantity") > 0, True)).alias("bought_lines"),
         F.sum("quantity").alias("quantity"),
         F.sum("sales").alias("sales"),
     )
+    bought = stage(bought, "bought")  # the lines are read once, here
+    pairs = bought.filter(F.col("bought_lines") > 0).select("customer_id", "stock_code").distinct()
+    baskets = group_baskets(pairs, settings.n_closest)
+    lists = slot_neighbours(baskets, class_neighbours(baskets, settings))
+
     offered = lists.select(
         "class_id", "slot", F.col("neighbour_id").alias("customer_id")
     ).join(bought, "customer_id")

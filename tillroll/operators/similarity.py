@@ -7,11 +7,17 @@ gives the exact nearest n for everybody with three devices:
 
 1. Customers with the same basket form one class. Only the n+1 smallest ids of
    a class can be anyone's neighbour, since they tie with the rest of it.
-2. Items in more than `hot_item_baskets` classes (the 62 most common of them at
+2. Items in more than `hot_item_baskets` classes (the 12 most common of them at
    most) leave the pair join. Each class keeps the ones it has as a bit mask, so
    for classes that meet over another item the common hot items are a bit count.
-3. Classes that share hot items only are found over the distinct masks: among
-   classes of one mask those with the smallest baskets win, so n+2 stand for all.
+3. Classes that share hot items only are found over the distinct masks, 4095 at
+   most however large the data: among classes of one mask those with the
+   smallest baskets win, so n+2 stand for all.
+
+The pair join of the other items is cut into blocks of `pair_block` holders, so
+that an item with many holders is many tasks instead of one. Its work still
+grows with the square of the 13th most common item's holders: that is the price
+of an exact answer.
 
 Ties go to the smaller customer id. The order uses shared^2 / (size_a * size_b),
 one division of whole numbers, so equal cosines compare equal.
@@ -27,7 +33,7 @@ from pyspark.sql import functions as F
 from tillroll.config import Settings
 from tillroll.session import stage
 
-HOT_BITS = 62
+HOT_BITS = 12
 CLASS_KEY = ["print_a", "print_b", "size"]
 
 
@@ -122,11 +128,14 @@ def group_baskets(pairs: DataFrame, n: int) -> Baskets:
     )
 
 
+def _holders(items: DataFrame) -> DataFrame:
+    return items.groupBy("stock_code").agg(F.count(F.lit(1)).alias("holders"))
+
+
 def _hot_items(items: DataFrame, more_than: int) -> DataFrame:
-    """The most common items, 62 at most, each with its bit."""
+    """The most common items, 12 at most, each with its bit."""
     common = (
-        items.groupBy("stock_code")
-        .agg(F.count(F.lit(1)).alias("holders"))
+        _holders(items)
         .filter(F.col("holders") > more_than)
         .orderBy(F.desc("holders"), "stock_code")
         .limit(HOT_BITS)
@@ -142,32 +151,56 @@ def _best(candidates: DataFrame, key: str, keep: int) -> DataFrame:
     return ranked.filter(F.col("_at") <= keep).drop("_at")
 
 
-def _pairs_over_items(items: DataFrame) -> DataFrame:
+def _pairs_over_items(items: DataFrame, block: int) -> DataFrame:
     """Class pairs meeting over an item, both ways round.
 
-    items: class_id, size, mask, stock_code, without the hot items. Each pair is
-    joined and counted once (smaller id first) and mirrored afterwards.
+    items: class_id, size, mask, stock_code, without the hot items. The holders
+    of an item fall into blocks, and block i meets block j in the task of
+    (item, i, j), i <= j. Each pair is joined and counted once and mirrored
+    afterwards.
     """
-    a = items.select("stock_code", *[F.col(c).alias(f"{c}_a") for c in ("class_id", "size", "mask")])
-    b = items.select("stock_code", *[F.col(c).alias(f"{c}_b") for c in ("class_id", "size", "mask")])
+    crowded = _holders(items).filter(F.col("holders") > block)
+    crowded = crowded.select("stock_code", F.ceil(F.col("holders") / block).alias("blocks"))
+    placed = items.join(crowded, "stock_code", "left").withColumn(
+        "blocks", F.coalesce("blocks", F.lit(1))
+    )
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("class_id"), "blocks"))
+    a = placed.select(
+        "stock_code",
+        F.col("block").alias("i"),
+        F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"),
+        *[F.col(c).alias(f"{c}_a") for c in ("class_id", "size", "mask")],
+    )
+    b = placed.select(
+        "stock_code",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("i"),
+        F.col("block").alias("j"),
+        *[F.col(c).alias(f"{c}_b") for c in ("class_id", "size", "mask")],
+    )
     hot = F.bit_count(F.col("mask_a").bitwiseAND(F.col("mask_b"))).cast("long")
     counted = (
-        a.join(b, "stock_code")
-        .filter(F.col("class_id_a") < F.col("class_id_b"))
-        .groupBy("class_id_a", "class_id_b", "size_a", "size_b", hot.alias("hot"))
+        a.join(b, ["stock_code", "i", "j"])
+        .filter((F.col("i") < F.col("j")) | (F.col("class_id_a") < F.col("class_id_b")))
+        .select(
+            F.least("class_id_a", "class_id_b").alias("low"),
+            F.greatest("class_id_a", "class_id_b").alias("high"),
+            (F.col("size_a") * F.col("size_b")).alias("sizes"),
+            hot.alias("hot"),
+        )
+        .groupBy("low", "high", "sizes", "hot")
         .agg(F.count(F.lit(1)).alias("met"))
     )
-    shared = F.col("met") + F.col("hot")
+    shared, one = F.col("met") + F.col("hot"), F.lit(1).cast("long")
     both = F.explode(
         F.array(
-            F.struct(F.col("class_id_a").alias("class_id"), F.col("class_id_b").alias("other_id")),
-            F.struct(F.col("class_id_b").alias("class_id"), F.col("class_id_a").alias("other_id")),
+            F.struct(F.col("low").alias("class_id"), F.col("high").alias("other_id")),
+            F.struct(F.col("high").alias("class_id"), F.col("low").alias("other_id")),
         )
     )
     return counted.select(
         both.alias("pair"),
-        closeness(shared, F.col("size_a"), F.col("size_b")).alias("closeness"),
-        cosine(shared, F.col("size_a"), F.col("size_b")).alias("similarity"),
+        closeness(shared, F.col("sizes"), one).alias("closeness"),
+        cosine(shared, F.col("sizes"), one).alias("similarity"),
     ).select("pair.*", "closeness", "similarity")
 
 
@@ -222,10 +255,12 @@ def class_neighbours(baskets: Baskets, settings: Settings) -> DataFrame:
     n, items = baskets.n, baskets.items
     hot = stage(_hot_items(items, settings.hot_item_baskets), "hot-items")
     if hot.isEmpty():
-        met = _pairs_over_items(items.withColumn("mask", F.lit(0).cast("long")))
+        met = _pairs_over_items(
+            items.withColumn("mask", F.lit(0).cast("long")), settings.pair_block
+        )
         nearest = _best(met, "class_id", n + 1)
     else:
-        marked = items.join(F.broadcast(hot), "stock_code", "left")  # 62 rows at most
+        marked = items.join(F.broadcast(hot), "stock_code", "left")  # 12 rows at most
         one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
         masks = marked.groupBy("class_id", "size").agg(
             F.coalesce(F.bit_or(one), F.lit(0)).alias("mask")
@@ -233,7 +268,7 @@ def class_neighbours(baskets: Baskets, settings: Settings) -> DataFrame:
         masks = stage(masks, "masks")
         rest = marked.filter(F.col("bit").isNull()).drop("bit")
         rest = rest.join(masks.drop("size"), "class_id")
-        met = _best(_pairs_over_items(rest), "class_id", n + 1)
+        met = _best(_pairs_over_items(rest, settings.pair_block), "class_id", n + 1)
         hot_only = _pairs_over_masks(masks, n)
         either = met.unionByName(hot_only).groupBy("class_id", "other_id").agg(
             F.max("closeness").alias("closeness"), F.max("similarity").alias("similarity")

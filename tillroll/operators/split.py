@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,30 +32,30 @@ def fold_of(settings: Settings, *keys: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(settings.seed), *keys), F.lit(settings.tune_folds)).cast("int")
 
 
-def time_bounds(sales: DataFrame, settings: Settings) -> Column:
-    """One scalar subquery giving cut_day and reference_day.
+@dataclass(frozen=True)
+class TimeBounds:
+    cut_day: date
+    reference_day: date
+
+
+def time_bounds(sales: DataFrame, settings: Settings) -> TimeBounds:
+    """The two days that split history from outcome, read from the data.
 
     cut_day is the last day less the horizon: later lines are the outcome.
     reference_day is the last day up to the cut on which a train customer
     bought; recency counts from it for both sides of the split.
 
-    Lines fold to one row per calendar day before anything is gathered, so the
-    array holds no more entries than the history has days.
+    Lines fold to one row per calendar day first, and only the two days come
+    back, so that later plans hold them as literals.
     """
     days = sales.groupBy("invoice_date").agg(
         F.max(is_train_customer(settings).cast("int")).alias("has_train")
     )
-    summary = days.agg(
-        F.max("invoice_date").alias("last_day"),
-        F.collect_list(
-            F.when(F.col("has_train") == 1, F.col("invoice_date"))
-        ).alias("train_days"),
-    )
-    cut = F.date_sub("last_day", settings.horizon)
-    reference = F.array_max(F.filter("train_days", lambda day: day <= cut))
-    return summary.select(
-        F.struct(cut.alias("cut_day"), reference.alias("reference_day")).alias("bounds")
-    ).scalar()
+    last_day = days.agg(F.max("invoice_date")).scalar()
+    cut = F.date_sub(last_day, settings.horizon)
+    train_day = F.when((F.col("has_train") == 1) & (F.col("invoice_date") <= cut), F.col("invoice_date"))
+    row = days.agg(F.max(cut).alias("cut_day"), F.max(train_day).alias("reference_day")).first()
+    return TimeBounds(row["cut_day"], row["reference_day"])
 
 
 def horizon_slices(last_day: Column, settings: Settings) -> Column:

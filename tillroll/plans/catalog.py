@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.config import STAR, Settings
@@ -24,7 +24,6 @@ NAIVE = "SEASONAL NAIVE"
 
 CUSTOMER_COLUMNS = ("customer_id", "invoice_date", "quantity", "price", "country", "stock_code")
 DAY_COLUMNS = ("customer_id", "invoice_date", "quantity", "country")
-DOUBLE = {"sales_sum": "double", "spend_90_total": "double", "price": "double", "sales": "double"}
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -48,7 +47,7 @@ def sales(
     return clean.as_of(cleaned, S.as_of)
 
 
-def bounds(spark: SparkSession, path: str) -> Column:
+def bounds(spark: SparkSession, path: str) -> split.TimeBounds:
     return split.time_bounds(sales(spark, path, DAY_COLUMNS, unique=False), S)
 
 
@@ -138,7 +137,7 @@ def clv_testing_history(spark, path):
     """Features of the test customers over all their lines, outcome days included."""
     lines = sales(spark, path, CUSTOMER_COLUMNS + ("invoice",))
     test = lines.filter(~split.is_train_customer(S))
-    return plain(customers.rfm(test, bounds(spark, path)["reference_day"]))
+    return plain(customers.rfm(test, bounds(spark, path).reference_day))
 
 
 def rule_predictions(spark: SparkSession, path: str) -> DataFrame:

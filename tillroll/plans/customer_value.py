@@ -7,12 +7,12 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.config import Settings
-from tillroll.operators.customers import FEATURES, customer_features
-from tillroll.operators.metrics import mae, roc_auc
+from tillroll.operators.customers import FEATURES
+from tillroll.operators.metrics import spend_and_flag_metrics
 from tillroll.operators.split import percent_bucket
 
 # Default size of a boosted model.
@@ -78,10 +78,13 @@ def with_residual(scored: DataFrame) -> DataFrame:
 
 def metrics(predictions: DataFrame) -> DataFrame:
     """One row: mean absolute error of spend, area under the curve of the flag."""
-    error = predictions.agg(
-        mae(F.col("spend_90_total").cast("double"), F.col("pred_total")).alias("mae")
-    ).scalar()
-    return roc_auc(predictions, "spend_90_flag", "pred_prob").select(error.alias("mae"), "roc_auc")
+    return spend_and_flag_metrics(
+        predictions,
+        F.col("spend_90_total").cast("double"),
+        F.col("pred_total"),
+        "spend_90_flag",
+        "pred_prob",
+    )
 
 
 def importance(spend: PipelineModel, probability: PipelineModel, spark) -> DataFrame:
@@ -114,7 +117,3 @@ def missed_opportunities(predictions: DataFrame) -> DataFrame:
 def sample_customers(df: DataFrame, fraction: float) -> DataFrame:
     """A repeatable share of the customers: by digest, so reruns pick the same ones."""
     return df.filter(percent_bucket(F.col("customer_id")) < int(round(fraction * 100)))
-
-
-def features_of(sales: DataFrame, bounds: Column, settings: Settings) -> DataFrame:
-    return customer_features(sales, bounds, settings)
