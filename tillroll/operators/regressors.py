@@ -215,7 +215,7 @@ def forest_candidates(settings: Settings) -> tuple[Pipeline, list[dict]]:
     grid = [
         {
             model.featureSubsetStrategy: str(round(draw.uniform(0.1, 1.0), 2)),
-            model.numTrees: draw.randint(10, settings.forest_trees),
+            model.numTrees: draw.randint(-(-settings.forest_trees // 5), settings.forest_trees),
             model.minInstancesPerNode: draw.randint(2, 40),
         }
         for _ in range(settings.tune_candidates)
