@@ -30,8 +30,7 @@ def people(spark):
 
 def test_customer_value(spark, people, retail, tmp_path):
     train, test = people.filter("customer_id < 240"), people.filter("customer_id >= 240")
-    spend = customer_value.fit_spend(train, retail)
-    probability = customer_value.fit_probability(train, retail)
+    spend, probability = customer_value.fit_models(train, retail)
     scored = customer_value.score(test, spend, probability).cache()
     assert scored.count() == 60
     assert scored.filter("pred_prob < 0 or pred_prob > 1 or recency < 0").isEmpty()
@@ -42,7 +41,7 @@ def test_customer_value(spark, people, retail, tmp_path):
     sums = {r["model"]: r["s"] for r in weights.groupBy("model").agg(F.sum("importance").alias("s")).collect()}
     assert sums == pytest.approx({"spend": 1.0, "probability": 1.0})
 
-    again = customer_value.score(test, customer_value.fit_spend(train, retail), probability)
+    again = customer_value.score(test, *customer_value.fit_models(train, retail))
     assert again.select("customer_id", "pred_total").exceptAll(scored.select("customer_id", "pred_total")).isEmpty()
 
     folder = str(tmp_path / "clv")

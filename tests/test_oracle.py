@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from checks import compare
+from tillroll.checks import compare
 from conftest import SMALL
 
 

@@ -25,8 +25,10 @@ def clean_sales(lines: DataFrame, settings: Settings, unique: bool = False) -> D
     if "country" in lines.columns:
         country = F.col("country")
         lines = lines.filter(country.isNull() | ~country.isin(*settings.excluded_countries))
+    if "quantity" in lines.columns:
+        lines = lines.filter(F.col("quantity") > 0)
     lines = lines.withColumn("invoice_date", F.to_date("invoice_date")).filter(
-        F.col("customer_id").isNotNull() & (F.col("quantity") > 0)
+        F.col("customer_id").isNotNull()
     )
     if "price" in lines.columns:
         lines = lines.withColumn("sales", (F.col("quantity") * F.col("price")).cast(MONEY))

@@ -140,23 +140,23 @@ def autocorrelation(daily: DataFrame, max_lag: int, value: str = VALUE) -> DataF
     )
 
 
-def _partial(rows: pd.DataFrame) -> pd.DataFrame:
-    """Durbin-Levinson recursion over the lags of one series."""
-    rows = rows.sort_values("lag")
-    r = rows["acf"].to_numpy()
-    phi, out = [], []
-    for k in range(len(r)):
-        below = 1.0 - sum(p * r[j] for j, p in enumerate(phi))
-        last = (r[k] - sum(p * r[k - 1 - j] for j, p in enumerate(phi))) / below
-        phi = [p - last * q for p, q in zip(phi, reversed(phi))] + [last]
-        out.append(last)
-    return rows.assign(pacf=out)
-
-
 def partial_autocorrelation(acf: DataFrame) -> DataFrame:
     """Add pacf. A group is one series' lags, max_lag rows."""
+
+    def recursion(rows: pd.DataFrame) -> pd.DataFrame:
+        """Durbin-Levinson over the lags of one series."""
+        rows = rows.sort_values("lag")
+        r = rows["acf"].to_numpy()
+        phi, out = [], []
+        for k in range(len(r)):
+            below = 1.0 - sum(p * r[j] for j, p in enumerate(phi))
+            last = (r[k] - sum(p * r[k - 1 - j] for j, p in enumerate(phi))) / below
+            phi = [p - last * q for p, q in zip(phi, reversed(phi))] + [last]
+            out.append(last)
+        return rows.assign(pacf=out)
+
     return acf.groupBy(SERIES).applyInPandas(
-        _partial, "series string, lag int, acf double, pacf double"
+        recursion, "series string, lag int, acf double, pacf double"
     )
 
 

@@ -14,7 +14,7 @@ from tillroll.operators import similarity, split
 from tillroll.operators.ordering import number_rows
 from tillroll.plans import customer_value, views
 from tillroll.session import configure
-from tillroll.sources.star import LINE_COLUMNS, star_lines
+from tillroll.sources.star import LINE_COLUMNS, sold_orders, star_lines
 
 S: Settings = STAR
 WINDOW_START = S.as_of - timedelta(days=S.horizon)
@@ -23,7 +23,6 @@ COHORT = {"cohorts": ["Q2-1995"], "countries": [S.home_country]}
 NAIVE = "SEASONAL NAIVE"
 
 CUSTOMER_COLUMNS = ("customer_id", "invoice_date", "quantity", "price", "country", "stock_code")
-DAY_COLUMNS = ("customer_id", "invoice_date", "quantity", "country")
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -47,12 +46,19 @@ def sales(
     return clean.as_of(cleaned, S.as_of)
 
 
+def buying_days(spark: SparkSession, path: str) -> DataFrame:
+    """Who bought when and in which country; a row per order, no line is needed."""
+    configure(spark)
+    orders = sold_orders(spark, path, last_day=S.as_of)
+    return clean.as_of(clean.clean_sales(orders, S, unique=True), S.as_of)
+
+
 def bounds(spark: SparkSession, path: str) -> split.TimeBounds:
-    return split.time_bounds(sales(spark, path, DAY_COLUMNS, unique=False), S)
+    return split.time_bounds(buying_days(spark, path), S)
 
 
 def purchases(spark: SparkSession, path: str) -> DataFrame:
-    return cohorts.first_purchase(sales(spark, path, DAY_COLUMNS, unique=False))
+    return cohorts.first_purchase(buying_days(spark, path))
 
 
 def recent_sales(spark: SparkSession, path: str) -> DataFrame:
@@ -93,7 +99,7 @@ def clean_sales(spark, path):
 
 
 def date_range(spark, path):
-    return clean.date_range(sales(spark, path, DAY_COLUMNS, unique=False))
+    return clean.date_range(buying_days(spark, path))
 
 
 def first_purchase(spark, path):
@@ -101,7 +107,7 @@ def first_purchase(spark, path):
 
 
 def first_purchase_per_country(spark, path):
-    return cohorts.first_purchase(sales(spark, path, DAY_COLUMNS, unique=False), per_country=True)
+    return cohorts.first_purchase(buying_days(spark, path), per_country=True)
 
 
 def cohort_sizes(spark, path):
@@ -117,7 +123,7 @@ def analysis_cohort(spark, path):
 
 
 def customer_split(spark, path):
-    return split.customer_split(sales(spark, path, DAY_COLUMNS, unique=False), S)
+    return split.customer_split(buying_days(spark, path), S)
 
 
 def rfm_features(spark, path):

@@ -14,6 +14,7 @@ from tillroll.config import Settings
 from tillroll.operators.customers import FEATURES
 from tillroll.operators.metrics import spend_and_flag_metrics
 from tillroll.operators.split import percent_bucket
+from tillroll.plans.fitting import fit_all
 
 # Default size of a boosted model.
 BOOST = {"maxIter": 15, "maxDepth": 6, "stepSize": 0.3}
@@ -29,25 +30,41 @@ def testing_table(features: DataFrame) -> DataFrame:
     return features.filter(F.col("split") == "test").select(*TABLE)
 
 
-def fit_spend(train: DataFrame, settings: Settings) -> PipelineModel:
+def spend_model(settings: Settings) -> Pipeline:
     """Spend of the next 90 days."""
-    data = train.withColumn("label", F.col("spend_90_total").cast("double"))
     gather = VectorAssembler(inputCols=FEATURES, outputCol="spend_features")
     boost = GBTRegressor(
-        featuresCol="spend_features", predictionCol="pred_total", seed=settings.seed, **BOOST
+        featuresCol="spend_features",
+        labelCol="spend_label",
+        predictionCol="pred_total",
+        seed=settings.seed,
+        **BOOST,
     )
-    return Pipeline(stages=[gather, boost]).fit(data)
+    return Pipeline(stages=[gather, boost])
 
 
-def fit_probability(train: DataFrame, settings: Settings) -> PipelineModel:
+def probability_model(settings: Settings) -> Pipeline:
     """Probability of any purchase in the next 90 days."""
-    data = train.withColumn("label", F.col("spend_90_flag").cast("double"))
     gather = VectorAssembler(inputCols=FEATURES, outputCol="prob_features")
     boost = GBTClassifier(
-        featuresCol="prob_features", predictionCol="pred_flag", seed=settings.seed, **BOOST
+        featuresCol="prob_features",
+        labelCol="flag_label",
+        predictionCol="pred_flag",
+        seed=settings.seed,
+        **BOOST,
     )
     boost.setProbabilityCol("pred_probability").setRawPredictionCol("pred_raw")
-    return Pipeline(stages=[gather, boost]).fit(data)
+    return Pipeline(stages=[gather, boost])
+
+
+def fit_models(train: DataFrame, settings: Settings) -> tuple[PipelineModel, PipelineModel]:
+    """The spend model and the probability model."""
+    labelled = train.withColumn("spend_label", F.col("spend_90_total").cast("double")).withColumn(
+        "flag_label", F.col("spend_90_flag").cast("double")
+    )
+    jobs = {"spend": (spend_model(settings), {}), "prob": (probability_model(settings), {})}
+    fitted = fit_all(jobs, labelled)
+    return fitted["spend"], fitted["prob"]
 
 
 def score(test: DataFrame, spend: PipelineModel, probability: PipelineModel) -> DataFrame:

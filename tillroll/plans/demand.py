@@ -7,10 +7,8 @@ and metrics plain aggregations.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.tuning import CrossValidator
@@ -30,6 +28,7 @@ from tillroll.operators.series import (
     with_calendar,
 )
 from tillroll.operators.split import cv_plan, fold_of
+from tillroll.plans.fitting import AT_ONCE, fit_all
 from tillroll.session import stage
 
 # Model ids and names. Tuned models come first, then the base models.
@@ -48,8 +47,6 @@ NAMES = {
 ENSEMBLE_OF = (8, 9, 1, 2)
 ENSEMBLE = "ENSEMBLE (MEAN): 4 MODELS"
 REFITTED = (1, 2)
-# Fits submitted side by side; each one is a distributed job of its own.
-AT_ONCE = 4
 
 
 @dataclass(frozen=True)
@@ -122,20 +119,6 @@ def prepare(frame: DataFrame, settings: Settings) -> Panel:
     return Panel(stage(spec.transform(rows), "prepared"), spec)
 
 
-def fit_all(jobs: dict, train: DataFrame, at_once: int = AT_ONCE) -> dict[int, Transformer]:
-    """Fit each (estimator, parameters) on the same rows, a few Spark jobs at a time."""
-    train = train.persist()
-    try:
-        with ThreadPoolExecutor(at_once) as pool:
-            started = {
-                k: pool.submit(inheritable_thread_target(train.sparkSession)(e.fit), train, params)
-                for k, (e, params) in jobs.items()
-            }
-            return {k: f.result() for k, f in started.items()}
-    finally:
-        train.unpersist()
-
-
 def base_pipelines(train: DataFrame, settings: Settings) -> dict:
     """The six untuned models, by id."""
     return {

@@ -22,10 +22,7 @@ from tillroll.session import stage
 def clv_models(spark: SparkSession, path: str):
     def make():
         table = stage(features(spark, path), "clv")
-        train = customer_value.training_table(table).persist()
-        spend = customer_value.fit_spend(train, S)
-        probability = customer_value.fit_probability(train, S)
-        train.unpersist()
+        spend, probability = customer_value.fit_models(customer_value.training_table(table), S)
         test = customer_value.testing_table(table)
         scored = stage(plain(customer_value.score(test, spend, probability)), "clv-scored")
         return spend, probability, scored
