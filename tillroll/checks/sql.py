@@ -74,7 +74,9 @@ ruled AS (
   SELECT scored.*, spend_90_total - pred_total AS spend_actual_vs_pred, country, first_purchase_cohort
   FROM scored LEFT JOIN purchases USING (customer_id))"""
 
-BASKETS = f"""WITH {RECENT},
+
+def _baskets(before: str, n: int) -> str:
+    return f"""WITH {before},
 items AS (SELECT DISTINCT customer_id, stock_code FROM recent),
 sizes AS (SELECT customer_id, count(*) AS n FROM items GROUP BY customer_id),
 shared AS (
@@ -89,9 +91,22 @@ cosines AS (
 nearest AS (
   SELECT customer_id, neighbour_id, similarity, CAST(rank AS INTEGER) AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY closeness DESC, neighbour_id) AS rank
-    FROM cosines) WHERE rank <= 5)"""
+    FROM cosines) WHERE rank <= {n})"""
+
+
+BASKETS = _baskets(RECENT, 5)
+# The same among test customers only.
+SCORED = _baskets(
+    LINES
+    + FEATURES
+    + """,
+recent AS (SELECT * FROM sales
+  WHERE invoice_date BETWEEN DATE '2001-07-31' - 90 AND DATE '2001-07-31'
+    AND customer_id IN (SELECT customer_id FROM features WHERE split = 'test'))""",
+    3,
+)
 
-OFFERED = BASKETS + """,
+OFFERS = """,
 means AS (
   SELECT n.customer_id, r.stock_code, r.description, sum(r.quantity) / count(*) AS mean_quantity,
          CAST(sum(r.sales) AS DOUBLE) / count(*) AS mean_sales
@@ -111,6 +126,7 @@ new_ranked AS (
 recommendations AS (
   SELECT customer_id, stock_code, description, mean_quantity, mean_sales, CAST(rank AS INTEGER) AS rank
   FROM new_ranked WHERE rank <= 10)"""
+OFFERED = BASKETS + OFFERS
 
 DAILY = f"""WITH {LINES},
 daily AS (
@@ -233,15 +249,29 @@ def _acf() -> str:
         for k in range(1, ACF_LAGS + 1)
     )
     rows = " UNION ALL ".join(
-        f"SELECT series, {k} AS lag, round(p{k} / power, 6) AS acf FROM sums"
-        for k in range(1, ACF_LAGS + 1)
+        f"SELECT series, {k} AS lag, p{k} / power AS acf FROM sums" for k in range(1, ACF_LAGS + 1)
     )
-    return f"""{DAILY},
+    return f"""{DAILY.replace("WITH", "WITH RECURSIVE", 1)},
 centred AS (SELECT series, invoice_date,
               total_quantity - avg(total_quantity) OVER (PARTITION BY series) AS x FROM daily),
 lagged AS (SELECT series, x, {lags} FROM centred),
-sums AS (SELECT series, sum(x * x) AS power, {sums} FROM lagged GROUP BY series)
-{rows}"""
+sums AS (SELECT series, sum(x * x) AS power, {sums} FROM lagged GROUP BY series),
+acf AS ({rows})"""
+
+
+# Durbin-Levinson: phi holds the coefficients of order k.
+PACF = """,
+lists AS (SELECT series, list(acf ORDER BY lag) AS r FROM acf GROUP BY series),
+steps AS (
+  SELECT series, r, 1 AS k, [r[1]] AS phi, r[1] AS pacf FROM lists
+  UNION ALL
+  SELECT series, r, k + 1,
+         list_append(list_transform(range(1, k + 1), lambda j: phi[j] - last * phi[k + 1 - j]), last),
+         last
+  FROM (SELECT *,
+          (r[k + 1] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 1 - j])))
+          / (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j]))) AS last
+        FROM steps WHERE k < 28))"""
 
 
 def _bounds() -> str:
@@ -407,6 +437,7 @@ SELECT customer_id, neighbour_id, similarity FROM cosines JOIN picked USING (cus
     "nearest_items": ITEM_NEAREST,
     "opportunities": f"{OFFERED} SELECT * FROM opportunities",
     "recommendations": f"{OFFERED} SELECT * FROM recommendations",
+    "scored_recommendations": f"{SCORED}{OFFERS} SELECT * FROM recommendations",
     "recommendation_text": f"""{OFFERED}
 SELECT customer_id, string_agg(description, ', ' ORDER BY rank) AS products
 FROM recommendations GROUP BY customer_id""",
@@ -446,7 +477,9 @@ SELECT series, invoice_date, total_quantity,
   CAST({WEEK} % 3 AS INTEGER) AS week3, CAST({WEEK} % 4 AS INTEGER) AS week4,
   CAST(day(invoice_date) // 7 + 1 AS INTEGER) AS mday7
 FROM padded""",
-    "autocorrelation": _acf(),
+    "autocorrelation": f"{_acf()} SELECT series, lag, round(acf, 6) AS acf FROM acf",
+    "partial_autocorrelation": f"""{_acf()}{PACF}
+SELECT series, k AS lag, round(r[k], 6) AS acf, round(pacf, 6) AS pacf FROM steps""",
     "cv_plan": _slices(),
     "cleaned_series": f"""{CLEANED}
 SELECT series, invoice_date, round(y, 6) AS total_quantity, bad AS is_outlier,

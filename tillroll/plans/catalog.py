@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -264,6 +265,13 @@ def recommendations(spark, path):
     return recommend.recommendations(recent_sales(spark, path), S)
 
 
+def scored_recommendations(spark, path):
+    """Offers among the scored (test) customers only, from the 3 nearest: the dashboard's set-up."""
+    test = customer_value.testing_table(features(spark, path))
+    lines = clean.members_only(recent_sales(spark, path), test, "customer_id")
+    return recommend.recommendations(lines, replace(S, n_closest=3))
+
+
 def recommendation_text(spark, path):
     return recommend.offer_text(recommend.recommendations(recent_sales(spark, path), S))
 
@@ -320,7 +328,8 @@ def autocorrelation(spark, path):
 
 def partial_autocorrelation(spark, path):
     acf = series.autocorrelation(daily(spark, path), S.max_acf_lag)
-    return series.partial_autocorrelation(acf)
+    both = series.partial_autocorrelation(acf)
+    return both.withColumns({c: F.round(c, 6) for c in ("acf", "pacf")})
 
 
 def cv_plan(spark, path):
@@ -425,6 +434,7 @@ RELATIONAL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         nearest_items,
         opportunities,
         recommendations,
+        scored_recommendations,
         recommendation_text,
         opportunity_table,
         sales_by_country,

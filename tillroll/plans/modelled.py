@@ -12,8 +12,16 @@ from pyspark.sql import functions as F
 from tillroll.operators import cohorts, metrics
 from tillroll.operators.regressors import SERIES
 from tillroll.plans import customer_value, demand, views
-from tillroll.plans.artifacts import once
-from tillroll.plans.catalog import S, feature_frame, features, plain, purchases
+from tillroll.plans.artifacts import once, save
+from tillroll.plans.catalog import (
+    S,
+    clv_testing_table,
+    clv_training_table,
+    feature_frame,
+    features,
+    plain,
+    purchases,
+)
 from tillroll.session import stage
 
 # --- customer value --------------------------------------------------------
@@ -93,14 +101,18 @@ def panel(spark: SparkSession, path: str) -> demand.Panel:
     return once(spark, path, "panel", lambda: demand.prepare(feature_frame(spark, path), S))
 
 
+def base_models(spark: SparkSession, path: str) -> dict:
+    return once(spark, path, "base", lambda: demand.fit_base(panel(spark, path), S))
+
+
 def base_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Test-part predictions of the six base models."""
 
     def make():
-        p = panel(spark, path)
-        return stage(demand.predict(demand.fit_base(p, S), p.test), "base-test")
+        found = demand.predict(base_models(spark, path), panel(spark, path).test)
+        return stage(found, "base-test")
 
-    return once(spark, path, "base", make)
+    return once(spark, path, "base-test", make)
 
 
 def tuned(spark: SparkSession, path: str) -> demand.Tuned:
@@ -121,6 +133,19 @@ def forecast_fit_accuracy(spark, path):
     return demand.accuracy(base_predictions(spark, path))
 
 
+def forecast_test_base(spark, path):
+    """History, and the test part as the six base models saw it."""
+    found = base_predictions(spark, path)
+    return demand.forecast_rows(found, panel(spark, path).history, found)
+
+
+def forecast_future_base(spark, path):
+    """History, and the next 90 days by the six base models as first fitted."""
+    p = panel(spark, path)
+    predictions = demand.predict(base_models(spark, path), p.future)
+    return demand.forecast_rows(predictions, p.history, base_predictions(spark, path))
+
+
 def tuning_results(spark, path):
     return tuned(spark, path).results
 
@@ -147,11 +172,19 @@ def forecast_test(spark, path):
     return demand.forecast_rows(found, panel(spark, path).history, found)
 
 
+def refitted_models(spark: SparkSession, path: str) -> dict:
+    return once(
+        spark, path, "refit", lambda: demand.refit(panel(spark, path), tuned(spark, path), S)
+    )
+
+
 def forecast_future(spark, path):
+    """History, and the next 90 days by the ensemble and the tuned models in it."""
+
     def make():
-        p = panel(spark, path)
-        refitted = demand.refit(p, tuned(spark, path), S)
-        forecast = demand.future_forecast(p, refitted, test_predictions(spark, path))
+        forecast = demand.future_forecast(
+            panel(spark, path), refitted_models(spark, path), test_predictions(spark, path)
+        )
         return stage(forecast, "future-forecast")
 
     return once(spark, path, "future", make)
@@ -173,6 +206,39 @@ def resample_accuracy(spark, path):
     return demand.resample_accuracy(once(spark, path, "resamples", make))
 
 
+# --- saving ----------------------------------------------------------------
+
+
+def save_customer_value(spark: SparkSession, path: str, folder: str) -> None:
+    """Both models with the tables they were fitted on and the predictions."""
+    spend, probability, scored = clv_models(spark, path)
+    tables = {
+        "train_data": clv_training_table(spark, path),
+        "test_data": clv_testing_table(spark, path),
+        "predictions_data": scored,
+    }
+    save(folder, {"spend_model": spend, "prob_model": probability}, tables)
+
+
+def save_demand(spark: SparkSession, path: str, folder: str) -> None:
+    """The refitted models, all accuracy tables, both forecasts and the prepared rows."""
+    p = panel(spark, path)
+    tables = {
+        "model_fit_accuracy": forecast_fit_accuracy(spark, path),
+        "model_tune_accuracy": forecast_tuned_accuracy(spark, path),
+        "model_resamples_accuracy": resample_accuracy(spark, path),
+        "model_ensemble_accuracy": forecast_ensemble_accuracy(spark, path),
+        "test_accuracy_by_series": forecast_accuracy(spark, path),
+        "test_forecast": forecast_test(spark, path),
+        "future_forecast": forecast_future(spark, path),
+        "data_prepared_clean": p.history_cleaned,
+        "train": p.train,
+        "test": p.test,
+    }
+    models = {f"model_{k}": m for k, m in refitted_models(spark, path).items()}
+    save(folder, {"feature_spec": p.spec, **models}, tables)
+
+
 MODELLED = {
     f.__name__: f
     for f in (
@@ -189,6 +255,8 @@ MODELLED = {
         clv_bucket_table,
         clv_scaled_features,
         forecast_fit_accuracy,
+        forecast_test_base,
+        forecast_future_base,
         tuning_results,
         forecast_tuned_accuracy,
         forecast_ensemble_accuracy,

@@ -16,6 +16,8 @@ RUNTIME = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+_local_folder: dict[str, str] = {}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME.items():
@@ -32,8 +34,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="tillroll-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        if application not in _local_folder:
+            _local_folder[application] = tempfile.mkdtemp(prefix="tillroll-")
+        folder = _local_folder[application]
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
