@@ -214,6 +214,29 @@ forecast AS (
 placed AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY invoice_date DESC) AS k FROM forecast),
 view_rows AS (SELECT * FROM placed WHERE k > 30 AND k <= 30 + 6 * 30 + 60)"""
 
+NAIVE_MODELS = DAILY + """,
+logged AS (SELECT series, invoice_date, ln(1 + total_quantity) AS y FROM longer),
+lagged AS (SELECT *, lag(y, 90) OVER (PARTITION BY series ORDER BY invoice_date) AS l FROM logged),
+rolled AS (
+  SELECT *,
+    avg(l) OVER (PARTITION BY series ORDER BY invoice_date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS m7,
+    avg(l) OVER (PARTITION BY series ORDER BY invoice_date ROWS BETWEEN 13 PRECEDING AND 14 FOLLOWING) AS m28
+  FROM lagged),
+predicted AS (
+  SELECT 1 AS model_id, 'LAG' AS model_desc, series, invoice_date, y, l AS p FROM rolled WHERE l IS NOT NULL
+  UNION ALL
+  SELECT 2, 'MEAN 7', series, invoice_date, y, m7 FROM rolled WHERE l IS NOT NULL
+  UNION ALL
+  SELECT 3, 'MEAN 28', series, invoice_date, y, m28 FROM rolled WHERE l IS NOT NULL),
+with_mean AS (
+  SELECT * FROM predicted
+  UNION ALL
+  SELECT 0, 'ENSEMBLE (MEAN): 4 MODELS', series, invoice_date, max(y), avg(p)
+  FROM predicted GROUP BY series, invoice_date),
+last_day AS (SELECT max(invoice_date) AS d FROM predicted WHERE y IS NOT NULL),
+test AS (SELECT with_mean.* FROM with_mean, last_day WHERE y IS NOT NULL AND invoice_date > d - 90),
+reach AS (SELECT model_id, quantile_disc(abs(y - p), 0.95) AS reach FROM test GROUP BY 1)"""
+
 WEEK = "((dayofyear(invoice_date) - 1) // 7 + 1)"
 
 
@@ -498,6 +521,36 @@ SELECT series, round(avg(abs(a - p)), 6) AS mae,
   round(avg(CASE WHEN abs(a) + abs(p) <> 0 THEN abs(a - p) / ((abs(a) + abs(p)) / 2) END) * 100, 6) AS smape,
   round(sqrt(avg((a - p) * (a - p))), 6) AS rmse, round(corr(a, p) ** 2, 6) AS rsq
 FROM stepped GROUP BY series""",
+    "naive_model_accuracy": f"""{NAIVE_MODELS},
+scaled AS (
+  SELECT series, model_id, model_desc, invoice_date, exp(y) - 1 AS a, exp(p) - 1 AS p FROM test),
+stepped AS (
+  SELECT *, abs(a - lag(a) OVER (PARTITION BY series, model_id ORDER BY invoice_date)) AS step FROM scaled)
+SELECT series, model_id, model_desc, round(avg(abs(a - p)), 6) AS mae,
+  round(avg(abs(a - p)) / avg(step), 6) AS mase, round(sqrt(avg((a - p) ** 2)), 6) AS rmse,
+  round(corr(a, p) ** 2, 6) AS rsq
+FROM stepped GROUP BY 1, 2, 3""",
+    "naive_resample_accuracy": f"""{NAIVE_MODELS},
+known AS (SELECT * FROM predicted WHERE y IS NOT NULL),
+slices AS (
+  SELECT id, hi - back AS train_end, hi - front AS assess_end
+  FROM (SELECT min(invoice_date) AS lo, max(invoice_date) AS hi FROM known),
+       (VALUES (1, 90, 0), (2, 180, 90), (3, 270, 180), (4, 360, 270)) v(id, back, front)
+  WHERE hi - back >= lo),
+per_slice AS (
+  SELECT model_id, model_desc, id, sqrt(avg((y - p) ** 2)) AS rmse
+  FROM known JOIN slices ON invoice_date > train_end AND invoice_date <= assess_end GROUP BY 1, 2, 3)
+SELECT model_id, model_desc, count(*) AS n, round(avg(rmse), 6) AS rmse_mean,
+       round(stddev_samp(rmse), 6) AS rmse_sd
+FROM per_slice GROUP BY 1, 2""",
+    "naive_forecast_rows": f"""{NAIVE_MODELS}
+SELECT series, CAST(NULL AS INTEGER) AS model_id, 'ACTUAL' AS model_desc, 'actual' AS key, invoice_date,
+       round(exp(y) - 1, 6) AS value, CAST(NULL AS DOUBLE) AS conf_lo, CAST(NULL AS DOUBLE) AS conf_hi
+FROM rolled WHERE y IS NOT NULL AND l IS NOT NULL
+UNION ALL
+SELECT series, model_id, model_desc, 'prediction', invoice_date, round(exp(p) - 1, 6),
+       round(exp(p - reach) - 1, 6), round(exp(p + reach) - 1, 6)
+FROM with_mean JOIN reach USING (model_id) WHERE y IS NULL""",
     "naive_forecast_view": f"""{NAIVE}
 SELECT series, invoice_date, key, period, value, concat_ws(chr(10),
   concat('Date: ', invoice_date), concat('Country: ', series), concat('Key: ', period),

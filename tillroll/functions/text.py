@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def strip_space(text: Column) -> Column:
     """Remove blanks, tabs and line ends at both ends."""
-    return F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), r"\s+$", "")
+    return F.btrim(text, F.lit(" \t\r\n"))
 
 
 def strip_quotes(text: Column) -> Column:

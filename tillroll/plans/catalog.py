@@ -13,7 +13,7 @@ from tillroll.config import STAR, Settings
 from tillroll.operators import clean, cohorts, customers, metrics, outliers, recommend, series
 from tillroll.operators import similarity, split
 from tillroll.operators.ordering import number_rows
-from tillroll.plans import customer_value, views
+from tillroll.plans import customer_value, demand, views
 from tillroll.session import configure
 from tillroll.sources.star import LINE_COLUMNS, sold_orders, star_lines
 
@@ -399,6 +399,55 @@ def naive_forecast_table(spark, path):
     return views.forecast_table(naive_view(spark, path), S.home_country)
 
 
+def naive_predictions(rows: DataFrame) -> DataFrame:
+    """Three plain forecasts in the form of model predictions: one horizon ago, and its means."""
+    lag = f"total_quantity_lag{S.horizon}"
+    models = [(1, "LAG", lag), (2, "MEAN 7", f"{lag}_roll_7"), (3, "MEAN 28", f"{lag}_roll_28")]
+    each = F.inline(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(k).alias("model_id"),
+                    F.lit(name).alias("model_desc"),
+                    F.col(column).alias("predicted"),
+                )
+                for k, name, column in models
+            ]
+        )
+    )
+    return rows.select(each, "series", "invoice_date", F.col("total_quantity").alias("label"))
+
+
+def naive_test(spark: SparkSession, path: str) -> DataFrame:
+    """Their predictions of the last 90 days, with the mean of the three."""
+    history = series.history_rows(feature_frame(spark, path))
+    last_day = history.agg(F.max("invoice_date")).scalar()
+    test = history.filter(F.col("invoice_date") > F.date_sub(last_day, S.horizon))
+    return demand.with_ensemble(naive_predictions(test), members=(1, 2, 3))
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c, t in df.dtypes if t == "double"})
+
+
+def naive_model_accuracy(spark, path):
+    return rounded(demand.accuracy(naive_test(spark, path), per_series=True))
+
+
+def naive_resample_accuracy(spark, path):
+    history = series.history_rows(feature_frame(spark, path))
+    assessed = split.cv_plan(naive_predictions(history), S).filter(F.col("part") == "test")
+    return rounded(demand.resample_accuracy(assessed))
+
+
+def naive_forecast_rows(spark, path):
+    """History and the next 90 days by the plain forecasts, with intervals from the last 90."""
+    frame = feature_frame(spark, path)
+    future = demand.with_ensemble(naive_predictions(series.future_rows(frame)), members=(1, 2, 3))
+    history = series.history_rows(frame).withColumn("label", F.col("total_quantity"))
+    return rounded(demand.forecast_rows(future, history, naive_test(spark, path)))
+
+
 RELATIONAL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -451,6 +500,9 @@ RELATIONAL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         cleaned_series,
         repaired_series,
         naive_accuracy,
+        naive_model_accuracy,
+        naive_resample_accuracy,
+        naive_forecast_rows,
         naive_forecast_view,
         naive_forecast_table,
     )
