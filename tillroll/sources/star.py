@@ -79,9 +79,10 @@ def star_lines(
 
     Order, item and signed quantity decide every other column, so repeated
     lines are dropped on those three before any join: the widest shuffle of the
-    pipeline carries three numbers. Dimensions whose columns are not asked for
-    are not read. With unique=False lines may repeat, for questions that drop
-    repeats themselves.
+    pipeline carries three numbers. With a first_day the few orders of that
+    window thin out the lines instead, and repeats go after that join.
+    Dimensions whose columns are not asked for are not read. With unique=False
+    lines may repeat, for questions that drop repeats themselves.
     """
     columns = list(columns)
     unknown = set(columns) - set(LINE_COLUMNS)
@@ -89,9 +90,11 @@ def star_lines(
         raise ValueError(f"unknown line columns: {sorted(unknown)}")
 
     lines = _signed_lines(spark, path)
-    if unique:
+    if unique and first_day is None:
         lines = lines.distinct()
     joined = lines.join(_orders(spark, path, first_day, last_day, "country" in columns), "invoice")
+    if unique and first_day is not None:
+        joined = joined.distinct()
     if "description" in columns or "price" in columns:
         part = table(spark, path, "part").select(
             F.col("p_partkey").alias("stock_code"),

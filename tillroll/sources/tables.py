@@ -43,13 +43,15 @@ def write_table(df: DataFrame, path: str, month_of: str | None = None) -> None:
     """Overwrite a parquet table.
 
     With month_of the table is laid out by month of that date column, so a
-    90-day question opens four folders. Rows of a month spread over as many
-    files as they need, since the layout does not shuffle by month.
+    90-day question opens four folders. Rows are gathered by month first, and a
+    month too large for one task is split, so there are neither many small files
+    nor one huge one.
     """
     if month_of is None:
         df.write.mode("overwrite").parquet(path)
         return
     by_month = df.withColumn("sales_month", F.date_format(month_of, "yyyy-MM"))
+    by_month = by_month.hint("rebalance", F.col("sales_month"))
     by_month.write.mode("overwrite").partitionBy("sales_month").parquet(path)
 
 
