@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tillroll.config import Settings
 from tillroll.functions.dates import calendar_signature, fourier, weekday_label
@@ -14,7 +15,7 @@ from tillroll.functions.dates import calendar_signature, fourier, weekday_label
 SERIES, DAY, VALUE = "series", "invoice_date", "total_quantity"
 
 
-def in_order() -> Window:
+def in_order() -> WindowSpec:
     return Window.partitionBy(SERIES).orderBy(DAY)
 
 
