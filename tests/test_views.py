@@ -1,3 +1,4 @@
+import math
 from datetime import date, timedelta
 from decimal import Decimal
 
@@ -145,6 +146,14 @@ def test_auc_counts_ties_half(spark):
     assert got["roc_auc"] == pytest.approx(judge.evaluate(df))
 
 
+def test_rsq_of_a_constant_is_nan(spark):
+    rows = [("a", date(2010, 1, d), 0.0, float(d)) for d in (1, 2, 3)]
+    rows += [("b", date(2010, 1, d), float(d), 2.0 * d) for d in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "series string, invoice_date date, actual double, predicted double")
+    got = {r["series"]: r["rsq"] for r in metrics.forecast_metrics(df, ["series"]).collect()}
+    assert math.isnan(got["a"]) and got["b"] == pytest.approx(1.0)
+
+
 def test_roc_curve(spark):
     df = spark.createDataFrame(SCORES, "flag int, score double")
     points = {r["threshold"]: (r["specificity"], r["sensitivity"]) for r in metrics.roc_curve(df, "flag", "score").collect()}

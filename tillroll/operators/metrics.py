@@ -17,12 +17,13 @@ def forecast_metrics(
 
     mase divides by the mean step between neighbouring actual days; steps are
     taken within a series, never across two. mape and smape skip days where
-    they would divide by 0.
+    they would divide by 0; rsq of a constant is NaN.
     """
     actual, predicted = F.col("actual"), F.col("predicted")
     within = [*dict.fromkeys([*keys, series])]
     step = F.abs(actual - F.lag("actual").over(Window.partitionBy(*within).orderBy(day)))
     error = F.abs(actual - predicted)
+    spread = F.var_pop(actual) * F.var_pop(predicted)
     level = (F.abs(actual) + F.abs(predicted)) / 2
     return (
         pairs.withColumn("_step", step)
@@ -33,7 +34,9 @@ def forecast_metrics(
             F.try_divide(F.avg(error), F.avg("_step")).alias("mase"),
             (F.avg(F.when(level != 0, error / level)) * 100).alias("smape"),
             F.sqrt(F.avg(error * error)).alias("rmse"),
-            F.pow(F.corr(actual, predicted), 2).alias("rsq"),
+            F.when(spread == 0, F.lit(float("nan")))
+            .otherwise(F.pow(F.covar_pop(actual, predicted), 2) / spread)
+            .alias("rsq"),
         )
     )
 
