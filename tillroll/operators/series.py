@@ -33,9 +33,9 @@ def sales_by_country(sales: DataFrame) -> DataFrame:
             "country",
             "total_quantity",
             F.col("total_sales").cast("double").alias("total_sales"),
-            (F.col("total_quantity") / F.col("_grand.quantity")).alias("pct_total_qty"),
-            (
-                F.col("total_sales").cast("double") / F.col("_grand.sales").cast("double")
+            F.try_divide(F.col("total_quantity"), F.col("_grand.quantity")).alias("pct_total_qty"),
+            F.try_divide(
+                F.col("total_sales").cast("double"), F.col("_grand.sales").cast("double")
             ).alias("pct_total_sales"),
         )
         .orderBy(F.desc("total_sales"), "country")
