@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
-from tillroll.llm import language, neardup, packing, quality
+from tillroll.llm import (
+    chat,
+    fingerprint,
+    language,
+    lm,
+    neardup,
+    packing,
+    quality,
+    sentence,
+    tokenstore,
+    warc,
+)
 
 QUERIES = {
+    "op1_token_output": tokenstore.op1_token_output,
+    "op2_sentencepiece": sentence.op2_sentencepiece,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_language_id": language.op4_language_id,
     "op5_packing": packing.op5_packing,
+    "op6_warc": warc.op6_warc,
     "op7_near_duplicates": neardup.op7_near_duplicates,
+    "op8_fingerprints": fingerprint.op8_fingerprints,
+    "op9_chat_formatting": chat.op9_chat_formatting,
+    "op10_lm_scoring": lm.op10_lm_scoring,
 }
 
 SQL = {
     "op3_quality_rules": quality.SQL,
+    "op6_warc": warc.SQL,
+    "op9_chat_formatting": chat.SQL,
+    "op10_lm_scoring": lm.SQL,
 }
