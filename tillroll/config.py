@@ -37,7 +37,14 @@ class Settings:
     tune_candidates: int = 10
     tune_folds: int = 5
     cv_slices: int = 4
+    # Trees of the base forest and their depth; tuned forests draw their trees from the range.
     forest_trees: int = 100
+    forest_depth: int = 20
+    forest_tree_range: tuple[int, int] = (20, 200)
+    # Rounds of the tuned boosts, and knots and degree of the tuned splines.
+    boost_round_range: tuple[int, int] = (5, 60)
+    spline_knot_range: tuple[int, int] = (1, 4)
+    spline_degree_range: tuple[int, int] = (1, 2)
     # Forecast shown per series: the home market uses one model, the rest another.
     home_model: str = "BOOST - Tuned"
     other_model: str = "ENSEMBLE (MEAN): 4 MODELS"
@@ -65,10 +72,6 @@ STAR = Settings(
     home_country="NATION_1",
     excluded_countries=("NATION_21", "NATION_22", "NATION_23", "NATION_24"),
     view_start=date(2000, 9, 1),
-    # A smaller search than the default, so that a registered question ends in minutes.
-    tune_candidates=3,
-    tune_folds=3,
-    forest_trees=50,
     repair_windows=(
         RepairWindow("All Others", date(1995, 1, 1), date(1996, 12, 31)),
         RepairWindow("NATION_1", date(1995, 1, 1), date(1996, 12, 31)),

@@ -80,7 +80,7 @@ def boost(settings: Settings, **params) -> GBTRegressor:
 def forest(settings: Settings, **params) -> RandomForestRegressor:
     size = {
         "numTrees": settings.forest_trees,
-        "maxDepth": 10,
+        "maxDepth": settings.forest_depth,
         "minInstancesPerNode": 5,
         "featureSubsetStrategy": "sqrt",
         **params,
@@ -215,7 +215,7 @@ def forest_candidates(settings: Settings) -> tuple[Pipeline, list[dict]]:
     grid = [
         {
             model.featureSubsetStrategy: str(round(draw.uniform(0.1, 1.0), 2)),
-            model.numTrees: draw.randint(-(-settings.forest_trees // 5), settings.forest_trees),
+            model.numTrees: draw.randint(*settings.forest_tree_range),
             model.minInstancesPerNode: draw.randint(2, 40),
         }
         for _ in range(settings.tune_candidates)
@@ -229,7 +229,7 @@ def boost_candidates(settings: Settings) -> tuple[Pipeline, list[dict]]:
     grid = [
         {
             model.featureSubsetStrategy: str(round(draw.uniform(0.1, 1.0), 2)),
-            model.maxIter: draw.randint(5, 30),
+            model.maxIter: draw.randint(*settings.boost_round_range),
             model.minInstancesPerNode: draw.randint(2, 40),
             model.maxDepth: draw.randint(2, 7),
             model.stepSize: round(10 ** draw.uniform(-1.5, -0.5), 4),
@@ -245,8 +245,9 @@ def spline_candidates(train: DataFrame, settings: Settings) -> tuple[Pipeline, l
     add, gather, line = spline_stages(train, settings)
     grid = []
     for _ in range(settings.tune_candidates):
-        knots, degree = draw.randint(1, 4), draw.randint(1, 2)
-        statement, names = spline_columns(train, settings, min(knots, 5 - 2 * degree), degree)
+        knots = draw.randint(*settings.spline_knot_range)
+        degree = draw.randint(*settings.spline_degree_range)
+        statement, names = spline_columns(train, settings, knots, degree)
         grid.append(
             {
                 add.statement: statement,
