@@ -1,6 +1,8 @@
 from datetime import date
 from decimal import Decimal
 
+import pytest
+
 from tillroll.operators import clean
 from tillroll.sources import tables
 
@@ -100,3 +102,26 @@ def test_list_tables_and_csv_export(spark, tmp_path):
     tables.write_csv(spark.range(3).toDF("Customer Id"), str(tmp_path / "out"))
     back = spark.read.option("header", True).csv(str(tmp_path / "out"))
     assert back.dtypes == [("Customer Id", "string")] and back.count() == 3
+
+
+def test_csv_keeps_every_line(spark, tmp_path):
+    header = "Country,Customer ID,Price,InvoiceDate,Quantity,Description,StockCode,Invoice\n"
+    file = tmp_path / "other-order.csv"
+    file.write_text(header + "France,17850.0,2.50,2010-12-01,6,MUG,A1,1\n")
+    row = tables.read_csv_lines(spark, str(file)).first()
+    assert (row["customer_id"], row["price"], row["country"], row["quantity"]) == (
+        17850, Decimal("2.50"), "France", 6)
+
+    bad = tmp_path / "bad.csv"
+    bad.write_text(
+        header + "France,1,2.555,2010-12-01,6,MUG,A1,1\nFrance,x1,2.50,2010-12-01,6,MUG,A1,2\n"
+        "France,1,2.50,2010-12-01,6,MUG,A1,3\n"
+    )
+    assert [r["Invoice"] for r in tables.bad_csv_lines(spark, str(bad)).collect()] == ["1", "2"]
+    with pytest.raises(Exception, match="Price is not decimal"):
+        tables.read_csv_lines(spark, str(bad)).collect()
+
+    short = tmp_path / "short.csv"
+    short.write_text("Invoice,StockCode\n1,A\n")
+    with pytest.raises(ValueError, match="missing"):
+        tables.read_csv_lines(spark, str(short))
