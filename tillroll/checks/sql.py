@@ -10,9 +10,9 @@ lines AS (
          CAST(p_retailprice AS DECIMAL(18,2)) AS price, o_custkey AS customer_id, n_name AS country
   FROM lineitem
   JOIN orders ON l_orderkey = o_orderkey
-  JOIN part ON l_partkey = p_partkey
-  JOIN customer ON o_custkey = c_custkey
-  JOIN nation ON c_nationkey = n_nationkey),
+  LEFT JOIN part ON l_partkey = p_partkey
+  LEFT JOIN customer ON o_custkey = c_custkey
+  LEFT JOIN nation ON c_nationkey = n_nationkey),
 sales AS (
   SELECT invoice, stock_code, replace(description, '"', '') AS description, quantity, invoice_date,
          price, customer_id, country, CAST(quantity * price AS DECIMAL(18,2)) AS sales
@@ -139,7 +139,7 @@ calendar AS (
   SELECT series, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS invoice_date FROM ends),
 padded AS (
   SELECT c.series, c.invoice_date, coalesce(d.total_quantity, 0) AS total_quantity
-  FROM calendar c LEFT JOIN daily d ON c.series = d.series AND c.invoice_date = d.invoice_date),
+  FROM calendar c LEFT JOIN daily d ON c.series IS NOT DISTINCT FROM d.series AND c.invoice_date = d.invoice_date),
 future AS (
   SELECT series, CAST(unnest(generate_series(hi + 1, hi + 90, INTERVAL 1 DAY)) AS DATE) AS invoice_date
   FROM ends),
@@ -235,7 +235,7 @@ with_mean AS (
   FROM predicted GROUP BY series, invoice_date),
 last_day AS (SELECT max(invoice_date) AS d FROM predicted WHERE y IS NOT NULL),
 test AS (SELECT with_mean.* FROM with_mean, last_day WHERE y IS NOT NULL AND invoice_date > d - 90),
-reach AS (SELECT model_id, quantile_disc(abs(y - p), 0.95) AS reach FROM test GROUP BY 1)"""
+reach AS (SELECT model_id, quantile_cont(abs(y - p), 0.95) AS reach FROM test GROUP BY 1)"""
 
 WEEK = "((dayofyear(invoice_date) - 1) // 7 + 1)"
 
@@ -383,7 +383,7 @@ SIDES = f""",
 sides AS (
   SELECT invoice_date, period,
     coalesce(sum(CASE WHEN {HOME} THEN CASE WHEN value < 5 THEN 0 ELSE value END END), 0) AS h,
-    coalesce(sum(CASE WHEN NOT {HOME} THEN CASE WHEN value < 5 THEN 0 ELSE value END END), 0) AS o
+    coalesce(sum(CASE WHEN NOT coalesce({HOME}, FALSE) THEN CASE WHEN value < 5 THEN 0 ELSE value END END), 0) AS o
   FROM view_rows GROUP BY 1, 2)"""
 
 ORACLE: dict[str, str] = {
@@ -481,7 +481,7 @@ FROM daily GROUP BY 1, 2""",
     "future_frame": f"{DAILY} SELECT * FROM future",
     "numbered_series": f"""{DAILY}
 SELECT series, invoice_date, total_quantity,
-       row_number() OVER (ORDER BY series, invoice_date) AS row_id FROM longer""",
+       row_number() OVER (ORDER BY series NULLS FIRST, invoice_date) AS row_id FROM longer""",
     "ts_features": _features_sql(),
     "calendar_signature": f"""{DAILY}
 SELECT series, invoice_date, total_quantity,

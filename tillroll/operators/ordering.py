@@ -43,11 +43,11 @@ def number_rows(df: DataFrame, series: str, day: str, name: str = "row_id") -> D
     """Number all rows 1.. by series, then day: numbers within a series plus the rows ahead of it."""
     df = stage(df, "to-number")
     counts = df.groupBy(series).agg(F.count(F.lit(1)).alias("n"))
-    ahead = running_totals(counts, [series], ["n"]).select(series, "before_n")
+    ahead = running_totals(counts, [series], ["n"]).select(F.col(series).alias("_series"), "before_n")
     within = F.row_number().over(Window.partitionBy(series).orderBy(day))
     return (
         df.withColumn("_n", within)
-        .join(ahead, series)
+        .join(ahead, F.col(series).eqNullSafe(F.col("_series")))
         .withColumn(name, (F.col("before_n") + F.col("_n")).cast("long"))
-        .drop("_n", "before_n")
+        .drop("_n", "before_n", "_series")
     )

@@ -91,8 +91,10 @@ def future_rows(frame: DataFrame) -> DataFrame:
 
 
 def history_rows(frame: DataFrame) -> DataFrame:
-    """Rows with a value and with every feature present."""
-    return frame.filter(F.col(VALUE).isNotNull()).dropna()
+    """Rows with a value and with every feature present; the series itself may be unknown."""
+    return frame.filter(F.col(VALUE).isNotNull()).dropna(
+        subset=[c for c in frame.columns if c != SERIES]
+    )
 
 
 def rolling(

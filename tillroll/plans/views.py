@@ -217,9 +217,10 @@ def forecast_table(view: DataFrame, home: str, titles: bool = False) -> DataFram
     Sides meet on day and period, and a day only one side has counts 0 for the other.
     """
     value = floor_small(F.col("value"))
+    at_home = F.col(SERIES).eqNullSafe(home)  # an unknown series is one of the others
     sides = view.groupBy(DAY, "period").agg(
-        F.coalesce(F.sum(F.when(F.col(SERIES) == home, value)), F.lit(0.0)).alias("home_forecast"),
-        F.coalesce(F.sum(F.when(F.col(SERIES) != home, value)), F.lit(0.0)).alias(
+        F.coalesce(F.sum(F.when(at_home, value)), F.lit(0.0)).alias("home_forecast"),
+        F.coalesce(F.sum(F.when(~at_home, value)), F.lit(0.0)).alias(
             "others_forecast"
         ),
     )

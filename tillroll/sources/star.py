@@ -64,7 +64,8 @@ def _orders(
     customer = table(spark, path, "customer").select(
         F.col("c_custkey").alias("customer_id"), "c_nationkey"
     )
-    return orders.join(customer.join(nation, "c_nationkey"), "customer_id")
+    # Left joins: an order of an unknown customer or country stays, with a null country.
+    return orders.join(customer.join(nation, "c_nationkey", "left"), "customer_id", "left")
 
 
 def star_lines(
@@ -101,7 +102,7 @@ def star_lines(
             F.col("p_name").alias("description"),
             F.col("p_retailprice").cast(MONEY).alias("price"),
         )
-        joined = joined.join(part, "stock_code")
+        joined = joined.join(part, "stock_code", "left")
     return joined.select(*columns)
 
 
