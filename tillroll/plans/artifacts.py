@@ -28,12 +28,38 @@ def load_model(folder: str, name: str) -> PipelineModel:
     return PipelineModel.load(f"{folder}/models/{name}")
 
 
-_made: dict[tuple[str, str, str], Any] = {}
+_made: dict[tuple, Any] = {}
 
 
-def once(spark: SparkSession, path: str, name: str, make: Callable[[], Any]) -> Any:
-    """The result of make(), fitted once per Spark application, table folder and name."""
-    key = (spark.sparkContext.applicationId, path, name)
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Name, size and time of the tables in a folder: changes when one is written again."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for table in system.listStatus(folder):
+        files = system.listStatus(table.getPath()) if table.isDirectory() else [table]
+        found += [
+            (f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files
+        ]
+    return tuple(sorted(found))
+
+
+def once(
+    spark: SparkSession, path: str, name: str, make: Callable[[], Any], settings: Any = None
+) -> Any:
+    """The result of make(), fitted once per application, settings and state of the tables.
+
+    Results of an earlier state of the same tables are let go.
+    """
+    asked = (spark.sparkContext.applicationId, path, name, settings)
+    key = (*asked, _state(spark, path))
     if key not in _made:
+        for old in [k for k in _made if k[:4] == asked]:
+            del _made[old]
         _made[key] = make()
     return _made[key]
+
+
+def forget() -> None:
+    """Drop every kept result, so that the next question fits anew."""
+    _made.clear()

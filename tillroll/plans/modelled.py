@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tillroll.operators import cohorts, metrics
 from tillroll.operators.regressors import SERIES
 from tillroll.plans import customer_value, demand, views
-from tillroll.plans.artifacts import once, save
+from tillroll.plans import artifacts
+from tillroll.plans.artifacts import save
 from tillroll.plans.catalog import (
     S,
     clv_testing_table,
@@ -24,6 +25,10 @@ from tillroll.plans.catalog import (
 )
 from tillroll.session import stage
 
+def once(spark: SparkSession, path: str, name: str, make):
+    return artifacts.once(spark, path, name, make, S)
+
+
 # --- customer value --------------------------------------------------------
 
 
@@ -212,31 +217,23 @@ def resample_accuracy(spark, path):
 def save_customer_value(spark: SparkSession, path: str, folder: str) -> None:
     """Both models with the tables they were fitted on and the predictions."""
     spend, probability, scored = clv_models(spark, path)
-    tables = {
-        "train_data": clv_training_table(spark, path),
-        "test_data": clv_testing_table(spark, path),
-        "predictions_data": scored,
-    }
-    save(folder, {"spend_model": spend, "prob_model": probability}, tables)
+    questions = (clv_training_table, clv_testing_table, clv_predictions, clv_metrics, clv_importance)
+    tables = {q.__name__: q(spark, path) for q in questions}
+    save(folder, {"spend": spend, "probability": probability}, tables)
 
 
 def save_demand(spark: SparkSession, path: str, folder: str) -> None:
     """The refitted models, all accuracy tables, both forecasts and the prepared rows."""
     p = panel(spark, path)
-    tables = {
-        "model_fit_accuracy": forecast_fit_accuracy(spark, path),
-        "model_tune_accuracy": forecast_tuned_accuracy(spark, path),
-        "model_resamples_accuracy": resample_accuracy(spark, path),
-        "model_ensemble_accuracy": forecast_ensemble_accuracy(spark, path),
-        "test_accuracy_by_series": forecast_accuracy(spark, path),
-        "test_forecast": forecast_test(spark, path),
-        "future_forecast": forecast_future(spark, path),
-        "data_prepared_clean": p.history_cleaned,
-        "train": p.train,
-        "test": p.test,
-    }
-    models = {f"model_{k}": m for k, m in refitted_models(spark, path).items()}
-    save(folder, {"feature_spec": p.spec, **models}, tables)
+    questions = (
+        forecast_fit_accuracy, forecast_tuned_accuracy, forecast_ensemble_accuracy,
+        forecast_accuracy, forecast_test, forecast_future, resample_accuracy, tuning_results,
+    )
+    tables = {q.__name__: q(spark, path) for q in questions}
+    tables |= {"rows": p.rows}
+    models = {f"refitted_{k}": m for k, m in refitted_models(spark, path).items()}
+    save(folder, {"spec": p.spec, **models}, tables)
+
 
 
 MODELLED = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -28,15 +30,18 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, named by the cluster in spark.checkpoint.dir.
 
-    Only a local session may run without that setting; it gets a scratch folder.
+    Only a session whose executors are threads of the driver may run without that
+    setting; it gets a scratch folder that goes with the process.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         application = spark.sparkContext.applicationId
         if application not in _local_folder:
             _local_folder[application] = tempfile.mkdtemp(prefix="tillroll-")
+            atexit.register(shutil.rmtree, _local_folder[application], ignore_errors=True)
         folder = _local_folder[application]
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -47,6 +52,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Delete every table that this application staged; results still to be read from them go too."""
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
