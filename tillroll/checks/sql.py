@@ -404,6 +404,11 @@ SELECT r.customer_id, r.invoice, r.stock_code, r.description, r.quantity, r.invo
        p.first_purchase_cohort
 FROM recent r JOIN purchases p USING (customer_id)
 WHERE p.first_purchase_cohort IN ('Q2-1995') AND r.country IN ('NATION_1')""",
+    "analysis_cohort_all": f"""WITH {RECENT}{FIRST}
+SELECT r.customer_id, r.invoice, r.stock_code, r.description, r.quantity, r.invoice_date,
+       CAST(r.price AS DOUBLE) AS price, r.country, CAST(r.sales AS DOUBLE) AS sales,
+       p.first_purchase_cohort
+FROM recent r JOIN purchases p USING (customer_id)""",
     "customer_split": f"""WITH {LINES}
 SELECT customer_id, CASE WHEN {BUCKET} < 80 THEN 'train' ELSE 'test' END AS split
 FROM (SELECT DISTINCT customer_id FROM sales)""",
@@ -425,6 +430,9 @@ WHERE country IN ({", ".join(f"'NATION_{k}'" for k in range(12))})
     "rule_facet_choices": f"{RULED} {_choices()}",
     "rule_customer_choices": f"""{RULED}
 SELECT DISTINCT country, customer_id FROM ruled WHERE spend_90_flag = 1""",
+    "rule_country_choices": f"""{RULED}
+SELECT DISTINCT country, customer_id FROM ruled
+WHERE spend_90_flag = 1 AND country IN ('NATION_1', 'NATION_2')""",
     "rule_chart_rows": f"{RULED} SELECT * FROM ruled WHERE spend_actual_vs_pred BETWEEN -100 AND 1500",
     "rule_table": f"""{RULED}
 SELECT customer_id, {_percent("pred_prob", 1)} AS pred_prob, spend_90_flag, recency, frequency,
@@ -436,8 +444,7 @@ FROM ruled WHERE spend_actual_vs_pred BETWEEN -500 AND 2500""",
     "rule_labels": f"{RULED} {LABEL}",
     "rule_segment_likely": f"{RULED} SELECT * FROM ruled ORDER BY pred_prob DESC, customer_id",
     "rule_segment_unlikely": f"""{RULED}
-SELECT * FROM (SELECT * REPLACE (pred_prob / 3 AS pred_prob) FROM ruled)
-WHERE recency < 90 AND pred_prob < 0.2::DOUBLE ORDER BY pred_prob DESC, customer_id""",
+SELECT * FROM ruled WHERE recency < 90 AND pred_prob < 0.6::DOUBLE ORDER BY pred_prob DESC, customer_id""",
     "rule_segment_missed": f"""{RULED}
 SELECT * FROM ruled WHERE spend_90_total = 0 ORDER BY pred_total DESC, customer_id""",
     "rule_metrics": f"""{RULED}{ROC}
@@ -504,6 +511,11 @@ FROM padded""",
     "partial_autocorrelation": f"""{_acf()}{PACF}
 SELECT series, k AS lag, round(r[k], 6) AS acf, round(pacf, 6) AS pacf FROM steps""",
     "cv_plan": _slices(),
+    "cv_folds": f"""{DAILY}
+SELECT series, invoice_date,
+  CAST(CAST(concat('0x', substr(md5(concat_ws('|', '123', series, CAST(invoice_date AS VARCHAR))), 1, 8))
+       AS BIGINT) % 5 AS INTEGER) AS fold
+FROM padded""",
     "cleaned_series": f"""{CLEANED}
 SELECT series, invoice_date, round(y, 6) AS total_quantity, bad AS is_outlier,
        round(c, 6) AS total_quantity_cleaned, in_window FROM cleaned""",

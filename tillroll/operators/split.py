@@ -28,8 +28,10 @@ def customer_split(sales: DataFrame, settings: Settings) -> DataFrame:
 
 
 def fold_of(settings: Settings, *keys: str) -> Column:
-    """Fold number 0..folds-1 of a row, from its keys and the seed."""
-    return F.pmod(F.xxhash64(F.lit(settings.seed), *keys), F.lit(settings.tune_folds)).cast("int")
+    """Fold number 0..folds-1 of a row, from a digest of the seed and its keys."""
+    named = F.concat_ws("|", F.lit(str(settings.seed)), *[F.col(k).cast("string") for k in keys])
+    digest = F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("long")
+    return (digest % settings.tune_folds).cast("int")
 
 
 @dataclass(frozen=True)

@@ -123,6 +123,12 @@ def analysis_cohort(spark, path):
     )
 
 
+def analysis_cohort_all(spark, path):
+    """The window's sales of every cohort and country."""
+    rows = recent_sales(spark, path)
+    return plain(cohorts.analysis_cohort(rows, purchases(spark, path), WINDOW_START, S.as_of))
+
+
 def customer_split(spark, path):
     return split.customer_split(buying_days(spark, path), S)
 
@@ -186,6 +192,11 @@ def rule_customer_choices(spark, path):
     return views.customer_choices(rule_predictions(spark, path))
 
 
+def rule_country_choices(spark, path):
+    """Customers to choose from once countries are picked."""
+    return views.customer_choices(rule_predictions(spark, path), ["NATION_1", "NATION_2"])
+
+
 def rule_chart_rows(spark, path):
     return plain(views.residual_filter(rule_predictions(spark, path), views.CHART_RANGE))
 
@@ -207,8 +218,7 @@ def rule_segment_likely(spark, path):
 
 
 def rule_segment_unlikely(spark, path):
-    ruled = rule_predictions(spark, path)
-    return plain(customer_value.recent_but_unlikely(ruled.withColumn("pred_prob", F.col("pred_prob") / 3)))
+    return plain(customer_value.recent_but_unlikely(rule_predictions(spark, path), probability=0.6))
 
 
 def rule_segment_missed(spark, path):
@@ -332,6 +342,12 @@ def partial_autocorrelation(spark, path):
     return both.withColumns({c: F.round(c, 6) for c in ("acf", "pacf")})
 
 
+def cv_folds(spark, path):
+    """The fold of every day of every series."""
+    rows = series.pad_days(daily(spark, path))
+    return rows.select("series", "invoice_date", split.fold_of(S, "series", "invoice_date").alias("fold"))
+
+
 def cv_plan(spark, path):
     return split.cv_plan(series.pad_days(daily(spark, path)), S)
 
@@ -497,6 +513,9 @@ RELATIONAL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         autocorrelation,
         partial_autocorrelation,
         cv_plan,
+        cv_folds,
+        analysis_cohort_all,
+        rule_country_choices,
         cleaned_series,
         repaired_series,
         naive_accuracy,

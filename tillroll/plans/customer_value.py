@@ -119,8 +119,11 @@ def likely_buyers(predictions: DataFrame) -> DataFrame:
     return predictions.orderBy(F.desc("pred_prob"), "customer_id")
 
 
-def recent_but_unlikely(predictions: DataFrame) -> DataFrame:
-    return predictions.filter((F.col("recency") < 90) & (F.col("pred_prob") < 0.2)).orderBy(
+def recent_but_unlikely(
+    predictions: DataFrame, days: int = 90, probability: float = 0.2
+) -> DataFrame:
+    recent = F.col("recency") < days
+    return predictions.filter(recent & (F.col("pred_prob") < probability)).orderBy(
         F.desc("pred_prob"), "customer_id"
     )
 
