@@ -39,10 +39,10 @@ class Settings:
     cv_slices: int = 4
     # Trees of the base forest and their depth; tuned forests draw their trees from the range.
     forest_trees: int = 100
-    forest_depth: int = 20
-    forest_tree_range: tuple[int, int] = (20, 200)
+    forest_depth: int = 12
+    forest_tree_range: tuple[int, int] = (20, 100)
     # Rounds of the tuned boosts, and knots and degree of the tuned splines.
-    boost_round_range: tuple[int, int] = (5, 60)
+    boost_round_range: tuple[int, int] = (5, 30)
     spline_knot_range: tuple[int, int] = (1, 4)
     spline_degree_range: tuple[int, int] = (1, 2)
     # Forecast shown per series: the home market uses one model, the rest another.
