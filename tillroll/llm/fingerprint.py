@@ -13,7 +13,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import large_batches, mixed, prepare, table, words_of
+from tillroll.llm.common import (
+    large_batches,
+    mixed,
+    partitions_of,
+    prepare,
+    range_cuts,
+    table,
+    words_of,
+)
 
 #: The band: a term stays if at least 1 in RARE and at most 1 in COMMON documents
 #: hold it, that is, its inverse document frequency is between ln COMMON and ln RARE.
@@ -113,15 +121,6 @@ def likeness(a: str, b: str, left: np.ndarray, right: np.ndarray) -> float:
     return float(((left == right) & used).sum() / used.sum()) if used.any() else 0.0
 
 
-def _parts(docs: DataFrame, count: int) -> list[int]:
-    """Ascending doc_ids that cut the table into about count equal ranges; count is a setting."""
-    wanted = [k / count for k in range(1, count)]
-    if not wanted:
-        return []
-    row = docs.agg(F.percentile_approx("doc_id", wanted, 10 * count).alias("cuts")).first()
-    return sorted(set(row["cuts"] or []))
-
-
 def compare_neighbours(docs: DataFrame, known: np.ndarray, ranges: int) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and the likeness to the next one.
 
@@ -135,7 +134,7 @@ def compare_neighbours(docs: DataFrame, known: np.ndarray, ranges: int) -> DataF
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce("text", F.lit("")).alias("text"))
-    cuts = _parts(docs, ranges)
+    cuts = range_cuts(docs, "doc_id", ranges)
     # Range 0 has the largest ids; nulls go to the last one.
     bounds = F.array(*[F.lit(c) for c in reversed(cuts)]).cast("array<bigint>")
     place = F.size(F.filter(bounds, lambda c: F.col("doc_id").isNull() | (F.col("doc_id") < c)))
@@ -229,5 +228,5 @@ def _runs(
 
 def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    ranges = 4 * int(prepare(spark).conf.get("spark.sql.shuffle.partitions"))
+    ranges = 4 * partitions_of(prepare(spark))
     return compare_neighbours(docs, lexicon(docs), ranges)

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import large_batches, prepare, table
+from tillroll.llm.common import large_batches, partitions_of, prepare, range_cuts, table
 from tillroll.session import new_path
 
 END_ID = 2
@@ -256,7 +256,9 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, n_tokens, ids (compressed little-endian uint16, end mark included) of every row."""
+    """docs with n_tokens, ids (compressed little-endian uint16, end mark included) for the text."""
+    kept = [c for c in docs.columns if c != "text"]
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*kept).dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -267,12 +269,20 @@ def encode(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
             for start, stop in zip(ends - counts, ends, strict=True):
                 packed.append(squeeze.compress(np.append(ids[start:stop], np.uint16(end_id)).tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"].combine_chunks(), pa.array(counts + 1), pa.array(packed, pa.binary())],
-                ["doc_id", "n_tokens", "ids"],
+                [*(part[c].combine_chunks() for c in kept), pa.array(counts + 1),
+                 pa.array(packed, pa.binary())],
+                [*kept, "n_tokens", "ids"],
             )
 
+    return docs.mapInArrow(run, f"{schema}, n_tokens long, ids binary")
+
+
+def in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
+    """doc_id, range, text: range numbers ascend with doc_id, null ids in range 0."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    cuts = F.array(*[F.lit(c) for c in range_cuts(rows, "doc_id", ranges)]).cast("array<bigint>")
+    below = F.size(F.filter(cuts, lambda c: F.coalesce(c <= F.col("doc_id"), F.lit(False))))
+    return rows.select("doc_id", below.cast("long").alias("range"), "text")
 
 
 # ---------------------------------------------------------------- files
@@ -289,54 +299,52 @@ FILE_TOKENS = 16 << 20
 def write(encoded: DataFrame, folder: str) -> DataFrame:
     """Write shard files in ascending doc_id order; the list of files, also kept in folder/files.
 
-    Ranges of doc_id are dealt to tasks, and each task writes its documents in
-    order. A file appears under its name only when it is whole, and a repeated
-    task writes the same bytes again, so a lost executor leaves no half file.
-    Null ids come first; rows that share an id are ordered by their ids' bytes.
+    encoded has doc_id, range, n_tokens, ids; the documents of a range are
+    written in order, to files named by range and number. A file appears under
+    its name only when it is whole, and a repeated task writes the same bytes
+    again, so a lost executor leaves no half file. Null ids come first; rows
+    that share an id are ordered by their ids' bytes.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        partition = TaskContext.get().partitionId()
         store, top = _store(folder)
         store.create_dir(f"{top}/shards", recursive=True)
         opener = zstandard.ZstdDecompressor()
         doc_ids: list[int | None] = []
         counts: list[int] = []
         ids: list[np.ndarray] = []
-        number = 0
+        now, number, held = None, 0, 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal number
-            name = f"{partition:06d}-{number:06d}.dac"
+            nonlocal number, held
+            name = f"{now:06d}-{number:06d}.dac"
             draft = f"{top}/shards/.{name}.{uuid.uuid4().hex}"
             with store.open_output_stream(draft) as out:
                 for piece in shard_bytes(doc_ids, counts, np.concatenate(ids)):
                     out.write(piece)
             store.move(draft, f"{top}/shards/{name}")
-            row = {"partition": partition, "number": number, "name": name, "docs": len(counts),
-                   "tokens": sum(counts)}
-            number += 1
+            row = {"range": now, "number": number, "name": name, "docs": len(counts), "tokens": held}
+            number, held = number + 1, 0
             doc_ids.clear(), counts.clear(), ids.clear()
             return pa.RecordBatch.from_pylist([row])
 
         for batch in batches:
-            for doc_id, n, packed in zip(*(batch[c].to_pylist() for c in ("doc_id", "n_tokens", "ids")),
-                                         strict=True):
+            columns = (batch[c].to_pylist() for c in ("range", "doc_id", "n_tokens", "ids"))
+            for place, doc_id, n, packed in zip(*columns, strict=True):
+                if place != now or held >= FILE_TOKENS:
+                    if counts:
+                        yield flush()
+                    if place != now:
+                        now, number = place, 0
                 doc_ids.append(doc_id)
                 counts.append(n)
+                held += n
                 ids.append(np.frombuffer(opener.decompress(packed), np.uint16))
-                if sum_tokens(counts) >= FILE_TOKENS:
-                    yield flush()
         if counts:
             yield flush()
 
-    def sum_tokens(counts: list[int]) -> int:
-        return sum(counts) if len(counts) % 64 == 0 or counts[-1] > 1 << 20 else 0
-
-    ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    files = ordered.mapInArrow(
-        run, "partition long, number long, name string, docs long, tokens long")
+    ordered = encoded.repartition("range").sortWithinPartitions("range", "doc_id", "ids")
+    files = ordered.select("range", "doc_id", "n_tokens", "ids").mapInArrow(
+        run, "range long, number long, name string, docs long, tokens long")
     files.write.parquet(f"{folder}/files")
     return encoded.sparkSession.read.parquet(f"{folder}/files")
 
@@ -344,7 +352,7 @@ def write(encoded: DataFrame, folder: str) -> DataFrame:
 def shards(spark: SparkSession, folder: str) -> DataFrame:
     """The files of a folder in order, with the tokens before each; one row per file."""
     files = spark.read.parquet(f"{folder}/files")
-    ahead = Window.orderBy("partition", "number").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.orderBy("range", "number").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("before", F.coalesce(F.sum("tokens").over(ahead), F.lit(0)))
 
 
@@ -370,8 +378,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 )
 
     listed = shards(spark, folder).select("name", "before")
-    # Files are whole units of work: one task each, as far as there are tasks.
-    return listed.repartition("name").mapInArrow(
+    # Files are whole units of work; given a number, they aren't put together into one task.
+    return listed.repartition(partitions_of(spark), "name").mapInArrow(
         run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -380,6 +388,6 @@ def op1_token_output(spark: SparkSession, folder: str) -> DataFrame:
 
     prepare(spark)
     out = new_path(spark, "tokens")
-    docs = table(spark, folder, "documents")
+    docs = in_ranges(table(spark, folder, "documents"), 2 * partitions_of(spark))
     write(encode(docs, public_tokenizers.path("byte_bpe_50k.json")), out)
     return read(spark, out)

@@ -12,7 +12,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import prepare, table
+from tillroll.llm.common import partitions_of, prepare, table
 from tillroll.session import new_path
 
 #: Payloads below this many bytes are always stored themselves.
@@ -246,7 +246,8 @@ def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
                         yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
     names = prepare(spark).read.parquet(f"{folder}/files").select("name")
-    return names.repartition("name").mapInArrow(run, CHUNKS)
+    # Given a number, so that small files aren't put together into one task.
+    return names.repartition(partitions_of(spark), "name").mapInArrow(run, CHUNKS)
 
 
 def summary(chunks: DataFrame) -> DataFrame:
