@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import duckdb
 import pytest
 
@@ -87,6 +89,31 @@ def test_lm_backs_off_and_scores_other_documents(spark):
     assert lm.score_documents(other.limit(0), lm.postings(other.limit(0)), score, -9.0).count() == 0
 
 
+def test_word_scoring_matches_sql(spark, tmp_path):
+    docs = spark.createDataFrame([d for d in DOCS if d[0] not in (5, None)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    frame = lm.op10_word_scoring(spark, str(tmp_path))
+    compare(spark, frame, lm.WORD_SQL, {"documents": docs.toPandas()}, ["doc_id"])
+
+
+def test_word_scoring_sees_the_order_of_words(spark):
+    train = spark.createDataFrame([(1, "a b c"), (2, "A b  c"), (3, None)], "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    pairs = lm.pair_counts(lm.word_postings(train).select("gram", F.aggregate(
+        "times", F.lit(0).cast("long"), lambda t, n: t + n).alias("n")))
+    assert {r["gram"]: r["count"] for r in pairs.collect()} == {" a": 2, "a b": 2, "b c": 2}
+    other = spark.createDataFrame([(7, "a b c"), (8, "c b a"), (9, "a z"), (10, " ")], "doc_id long, text string")
+    places = lm.word_postings(other)
+    wanted = places.select("gram").distinct().join(pairs, "gram", "left").fillna(0, ["count"])
+    score = lm.word_scores(wanted, pairs, unseen=-9.0)
+    rows = {r["doc_id"]: r for r in lm.score_documents(other, places, score, -9.0).collect()}
+    assert rows[7]["log_score"] == 0.0 and rows[9]["log_score"] == -9.0
+    # No pair of "c b a" was seen: each word is a third of all words, discounted once.
+    assert rows[8]["mean_log_score"] == pytest.approx(math.log(0.4 / 3), abs=1e-5)
+    assert rows[10]["perplexity"] is None
+
+
 PAGES = [
     (3, "u", "x" * 150), (1, "u", "x" * 150), (2, "u\r\nv", "x" * 150), (4, None, None), (5, "u", ""),
     (6, "u", "short"), (7, "u", "short"), (8, "u", "é" * 70), (9, "u", "é" * 70), (10, "u", "z" * 700000),

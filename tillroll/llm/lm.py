@@ -4,11 +4,14 @@ The unit is the lower-case character. A text's positions each give one n-gram
 of ORDER characters, the first ones filled up with a start mark; shorter
 n-grams are suffixes, so their counts follow from the longest ones. An n-gram
 is a long: 21 bits a character, exact for every code point.
+
+Beside it, the same over pairs of lower-case words: a pair is a string, the
+word before, a blank and the word, so it is exact too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import large_batches, table
+from tillroll.llm.common import large_batches, table, words_of
 from tillroll.session import stage
 
 ORDER = 3
@@ -29,6 +32,8 @@ ALPHA = 0.4
 LEAST = 2
 #: Texts whose n-grams are written down together.
 BLOCK_BYTES = 2 << 20
+#: The same for word pairs, most of which come back only in larger blocks.
+WORD_BLOCK_BYTES = 16 << 20
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -48,18 +53,50 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return keys, lengths
 
 
+def _characters(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    keys, lengths = grams(texts)
+    codes, names = pd.factorize(keys)
+    return codes.astype(np.int64), pa.array(names), lengths
+
+
+def word_pairs(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The pair of every word of all texts as a place among distinct pairs, these, and words per text.
+
+    Before a text's first word stands the empty word, which is no word itself.
+    """
+    words, ends = words_of(pc.utf8_lower(pc.fill_null(texts, "")))
+    lengths = np.diff(ends)
+    coded = words.dictionary_encode()
+    word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    empty = len(coded.dictionary)
+    before = np.append(empty, word[:-1])[: len(word)]
+    before[ends[:-1][lengths > 0]] = empty
+    codes, cells = pd.factorize(before * (empty + 1) + word)
+    first, last = np.divmod(cells, empty + 1)
+    known = pa.concat_arrays([coded.dictionary, pa.array([""], coded.dictionary.type)])
+    names = pc.binary_join_element_wise(known.take(pa.array(first)), known.take(pa.array(last)), " ")
+    return codes.astype(np.int64), names, lengths
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """gram, docs, times: where an n-gram stands, for each block of texts; docs and times match."""
+    return _postings(docs, _characters, "long", BLOCK_BYTES)
+
 
+def word_postings(docs: DataFrame) -> DataFrame:
+    """postings of word pairs."""
+    return _postings(docs, word_pairs, "string", WORD_BLOCK_BYTES)
+
+
+def _postings(docs: DataFrame, unit: Callable, kind: str, block: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in large_batches(batches, "text", BLOCK_BYTES):
-            keys, lengths = grams(part["text"].combine_chunks())
-            if not len(keys):
+        for part in large_batches(batches, "text", block):
+            codes, names, lengths = unit(part["text"].combine_chunks())
+            if not len(codes):
                 continue
-            codes, names = pd.factorize(keys)
             rows = len(lengths)
             owner = np.repeat(np.arange(rows), lengths)
-            cells = codes.astype(np.int64) * rows + owner
+            cells = codes * rows + owner
             if len(names) * rows <= 1 << 25:
                 dense = np.bincount(cells)
                 found = np.flatnonzero(dense)
@@ -76,14 +113,14 @@ def postings(docs: DataFrame) -> DataFrame:
                 begin = int(offsets[low])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(names[low:high]),
+                        names.slice(low, high - low),
                         pa.ListArray.from_arrays(cut, ids.slice(begin, size)),
                         pa.ListArray.from_arrays(cut, pa.array(times[begin : begin + size], pa.int32())),
                     ],
                     ["gram", "docs", "times"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "gram long, docs array<long>, times array<int>")
+    return rows.mapInArrow(run, f"gram {kind}, docs array<long>, times array<int>")
 
 
 def _tail(gram, n: int):
@@ -131,6 +168,31 @@ def scores(tables: dict[int, DataFrame], least: int = LEAST, alpha: float = ALPH
     return score
 
 
+def pair_counts(grams_seen: DataFrame) -> DataFrame:
+    """gram, count of every word pair; grams_seen has gram and n."""
+    return stage(grams_seen.groupBy("gram").agg(F.sum("n").alias("count")), "pairs")
+
+
+def word_scores(
+    wanted: DataFrame, pairs: DataFrame, unseen: float, least: int = LEAST, alpha: float = ALPHA
+) -> DataFrame:
+    """gram, log_score of the pairs in wanted (gram, count; count 0: not in the model).
+
+    count / count of the word before it if it was seen often enough, else alpha
+    times the word's share of all words; a word the model never saw gets unseen.
+    Either case needs one table of single words, folded from the pairs.
+    """
+    first, last = F.substring_index("gram", " ", 1), F.substring_index("gram", " ", -1)
+    before = pairs.groupBy(first.alias("word")).agg(F.sum("count").alias("seen"))
+    words = pairs.groupBy(last.alias("word")).agg(F.sum("count").alias("seen"))
+    total = pairs.agg(F.sum("count")).first()[0]
+    often = wanted.filter(F.col("count") >= least).withColumn("word", first).join(before, "word").select(
+        "gram", F.log(F.col("count") / F.col("seen")).alias("log_score"))
+    rare = wanted.filter(F.col("count") < least).withColumn("word", last).join(words, "word", "left")
+    share = F.log(F.col("seen") / F.lit(total).cast("long")) + float(np.log(alpha))
+    return often.union(rare.select("gram", F.coalesce(share, F.lit(unseen)).alias("log_score")))
+
+
 def score_documents(docs: DataFrame, places: DataFrame, score: DataFrame, unseen: float) -> DataFrame:
     """doc_id, n_chars, log_score, mean_log_score, perplexity of every doc_id.
 
@@ -166,6 +228,16 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return score_documents(docs, places, score, unseen=-20.0)
 
 
+def op10_word_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """As op10_lm_scoring over pairs of words: n_words instead of n_chars, tables that grow with the input."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    places = word_postings(docs)
+    pairs = pair_counts(places.select("gram", F.aggregate(
+        "times", F.lit(0).cast("long"), lambda total, n: total + n).alias("n")))
+    score = word_scores(pairs, pairs, unseen=-20.0)
+    return score_documents(docs, places, score, unseen=-20.0).withColumnRenamed("n_chars", "n_words")
+
+
 SQL = """
 WITH d AS (
   SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents
@@ -190,3 +262,25 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_chars, coalesce(total, 0.0)::DOUBLE A
   round(total / n, 6) AS mean_log_score, round(exp(-total / n), 4) AS perplexity
 FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN z USING (doc_id)
 """
+
+WORD_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^ \t\n\x0b\x0c\r]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, CASE WHEN i > 1 THEN w[i - 1] ELSE '' END AS b, w[i] AS x
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)
+), c2 AS (SELECT b, x, count(*) AS n2 FROM p GROUP BY b, x),
+k1 AS (SELECT b, sum(n2) AS m1 FROM c2 GROUP BY b),
+c1 AS (SELECT x, sum(n2) AS n1 FROM c2 GROUP BY x),
+k0 AS (SELECT sum(n1) AS m0 FROM c1),
+s AS (
+  SELECT b, x, round(1048576 * CASE WHEN n2 >= 2 THEN ln(n2 / m1)
+              ELSE ln(n1 / m0) + ln(0.4) END)::BIGINT AS unit
+  FROM c2 JOIN k1 USING (b) JOIN c1 USING (x) CROSS JOIN k0
+), z AS (
+  SELECT doc_id, count(*) AS n, sum(unit) / 1048576 AS total FROM p JOIN s USING (b, x) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(total, 0.0)::DOUBLE AS log_score,
+  round(total / n, 6) AS mean_log_score, round(exp(-total / n), 4) AS perplexity
+FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN z USING (doc_id)
+"""

@@ -26,6 +26,7 @@ QUERIES = {
     "op8_fingerprints": fingerprint.op8_fingerprints,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_lm_scoring": lm.op10_lm_scoring,
+    "op10_word_scoring": lm.op10_word_scoring,
 }
 
 SQL = {
@@ -33,4 +34,5 @@ SQL = {
     "op6_warc": warc.SQL,
     "op9_chat_formatting": chat.SQL,
     "op10_lm_scoring": lm.SQL,
+    "op10_word_scoring": lm.WORD_SQL,
 }
