@@ -299,6 +299,30 @@ def test_fingerprints_of_neighbours(spark):
     assert out[0]["fingerprint"] == out[63]["fingerprint"]
 
 
+@pytest.mark.parametrize("length", [8, 40, 150, 400, 1000])
+def test_edited_texts_are_nearer_than_others(length):
+    import xxhash
+
+    rnd = random.Random(length)
+    words = [f"term{k}" for k in range(40_000)]
+    known = np.sort(np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64))
+    edited, other = [], []
+    for _ in range(60):
+        a, b = rnd.sample(words, length), rnd.sample(words, length)
+        texts = [" ".join(t) for t in (a, a[: length // 2] + b[: length // 2], b)]
+        found, subsets = fingerprint.fingerprints(pa.array(texts), known)
+        edited.append(fingerprint.likeness(found[0], found[1], subsets[0], subsets[1]))
+        other.append(fingerprint.likeness(found[0], found[2], subsets[0], subsets[2]))
+    assert np.mean(np.array(edited) > 0) > 0.8
+    assert np.mean(edited) > 5 * np.mean(other) and np.mean(np.array(edited) > np.array(other)) > 0.75
+
+
+def test_every_term_is_in_a_subset():
+    value = np.random.RandomState(0).randint(0, 2**63, 5000).astype(np.uint64)
+    at, subset = fingerprint._members(value)
+    assert np.bincount(at).min() >= 2 and set(subset.tolist()) == set(range(fingerprint.SUBSETS))
+
+
 def test_lexicon_is_the_band(spark):
     rows = [(k, f"Common, rare{k} pair{k // 2} common") for k in range(40)]
     known = fingerprint.lexicon(frame(spark, rows))

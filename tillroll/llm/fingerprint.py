@@ -27,9 +27,12 @@ from tillroll.llm.common import (
 #: hold it, that is, its inverse document frequency is between ln COMMON and ln RARE.
 RARE, COMMON = 2000, 20
 LEAST_DOCS = 2
-#: Random lexicon subsets of a fingerprint. Each takes one term in SUBSETS, drawn by a
-#: hash of the term, so that an edit leaves some subsets of a document untouched.
-SUBSETS = 32
+#: Random lexicon subsets of a fingerprint, EACH of every density: one that takes 1 term in 8,
+#: in 32 and so on, drawn by a hash of the term. Whatever the length of a document, subsets of
+#: some density hold few of its terms, so that an edit leaves some of them untouched.
+DENSITIES = (8, 32, 128, 512, 2048)
+EACH = 16
+SUBSETS = EACH * len(DENSITIES)
 TRIM = ".,;:!?\"'()[]"
 
 
@@ -77,6 +80,27 @@ def lexicon(docs: DataFrame) -> np.ndarray:
     return np.sort(inside["term"].to_numpy().view(np.uint64))
 
 
+def _members(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in value, subset) of every subset that takes a term, from the terms' mixed hashes.
+
+    The densest subsets are two cuts of the whole lexicon into eight, so every term is in two.
+    The others are disjoint within their density. Each cut reads bits of its own.
+    """
+    places, subsets = [], []
+    shift, begin = 0, 0
+    for density in DENSITIES:
+        width = min(EACH, density)
+        bits = density.bit_length() - 1
+        for first in range(begin, begin + EACH, width):
+            drawn = (value >> np.uint64(shift)) & np.uint64(density - 1)
+            at = np.flatnonzero(drawn < width)
+            places.append(at)
+            subsets.append(drawn[at].astype(np.int64) + first)
+            shift += bits
+        begin += EACH
+    return np.concatenate(places), np.concatenate(subsets)
+
+
 def fingerprints(texts: pa.Array, known: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Fingerprint of each text, and its subset hashes (texts, SUBSETS; 0: no term in it).
 
@@ -95,7 +119,8 @@ def fingerprints(texts: pa.Array, known: np.ndarray) -> tuple[list[str], np.ndar
         # Terms of a text come in ascending order of their hash, each once: a sum of
         # mixed hashes names the sorted list.
         chosen, value = owner[keep], spread[term[keep]]
-        group = chosen * SUBSETS + (value % np.uint64(SUBSETS)).astype(np.int64)
+        at, subset = _members(value)
+        group, value = chosen[at] * SUBSETS + subset, value[at]
         order = np.argsort(group, kind="stable")
         group = group[order]
         starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
