@@ -54,6 +54,20 @@ def test_pieces_encode_like_whole_texts():
     assert ids.tolist() == list(itertools.chain(*want))
 
 
+def test_special_literals_encode_like_the_library():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(BPE)
+    texts = [*HARD, *random_texts(100, 2), "end <|endoftext|> next", "a b<|endoftext|>c d", " <|endoftext|>",
+             "<|endoftext|>", "x <|endoftext| y"]
+    ids, counts = tokenstore.encode_texts(pa.array(texts, pa.string()), BPE, special=True)
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(w) for w in want]
+    assert ids.tolist() == list(itertools.chain(*want))
+    spelled, _ = tokenstore.encode_texts(pa.array(["end <|endoftext|> next"]), BPE)
+    assert spelled.tolist() != plain.encode("end <|endoftext|> next", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("widths", [(8, 8), (5, 6, 5), (10, 6)])
 def test_codes_give_random_access(widths):
     r = np.random.RandomState(0)

@@ -10,6 +10,7 @@ bitmap, so the place in the next level is one addition and one popcount away.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -151,40 +152,48 @@ def shard_bytes(
 # ---------------------------------------------------------------- encoding
 
 _UNSAFE = r"^ | $| [\s\p{Z}\x{1c}-\x{1f}\x{85}]|[\s\p{Z}\x{1c}-\x{1f}\x{85}] "
-_held: dict[str, tuple[object, dict[str, bytes], np.ndarray]] = {}
+_held: dict[tuple[str, bool], tuple[object, dict[str, bytes], np.ndarray, str | None]] = {}
 #: Pieces a Python worker remembers between batches, at most.
 REMEMBERED = 200_000
 
 
-def _tokenizer(path: str):
-    if path not in _held:
+def _tokenizer(path: str, special: bool = False):
+    """Tokenizer, remembered pieces, ids that open with a blank, and a pattern of special literals.
+
+    special is the library's default: a text's literal of an added token becomes
+    that token. Else it is spelled out like other text, and the pattern is None.
+    """
+    if (path, special) not in _held:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = not special
         tokenizer.model._resize_cache(0)  # pieces come once each, so its cache only costs
         vocabulary = tokenizer.get_vocab()
         opens = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, k in vocabulary.items():
             opens[k] = token.startswith("\u0120")  # a blank in byte-level spelling
-        _held[path] = (tokenizer, {}, opens)
-    return _held[path]
+        literals = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if special else []
+        pattern = "|".join(map(re.escape, literals)) or None
+        _held[path, special] = (tokenizer, {}, opens, pattern)
+    return _held[path, special]
 
 
-def _encode_pieces(pieces: list[str], path: str) -> list[bytes]:
+def _encode_pieces(pieces: list[str], path: str, special: bool = False) -> list[bytes]:
     """The ids of each piece as uint16 bytes.
 
     Pieces that are a blank and a word are joined, many to a text: only the
     first id of such a piece begins with a blank, so the ids fall apart again.
     """
-    tokenizer, _, opens = _tokenizer(path)
+    tokenizer, _, opens, pattern = _tokenizer(path, special)
+    literal = re.compile(pattern).search if pattern else None
     out: list[bytes] = [b""] * len(pieces)
     joined = [k for k, p in enumerate(pieces)
               if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace()
-              and " " not in p[1:]]
+              and " " not in p[1:] and not (literal and literal(p))]
     for at in range(0, len(joined), 20_000):
         some = joined[at : at + 20_000]
         texts = ["".join([pieces[k] for k in some[i : i + 200]]) for i in range(0, len(some), 200)]
@@ -205,16 +214,17 @@ def _encode_pieces(pieces: list[str], path: str) -> list[bytes]:
     return out
 
 
-def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: pa.Array, path: str, special: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another as uint16, and the number of ids of each text.
 
     The vocabulary's pattern starts a new piece at a single blank between two
     characters that are not blank, so texts are cut there, and each distinct
-    piece is encoded once. Texts with other runs of white space are encoded whole.
+    piece is encoded once. Texts with other runs of white space are encoded whole,
+    and so are, with special, those that hold the literal of an added token.
     """
-    _, known, _ = _tokenizer(path)
+    _, known, _, pattern = _tokenizer(path, special)
     texts = pc.fill_null(texts, "")
-    unsafe = pc.match_substring_regex(texts, _UNSAFE)
+    unsafe = pc.match_substring_regex(texts, f"{_UNSAFE}|{pattern}" if pattern else _UNSAFE)
     lists = pc.if_else(unsafe, pa.scalar([""], pa.list_(pa.string())), pc.split_pattern(texts, " "))
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = lists.flatten()
@@ -237,7 +247,7 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
     encoded: list[bytes | None] = [known.get(p) for p in pieces]
     missing = [k for k, e in enumerate(encoded) if e is None]
-    for k, ids_of in zip(missing, _encode_pieces([pieces[k] for k in missing], path), strict=True):
+    for k, ids_of in zip(missing, _encode_pieces([pieces[k] for k in missing], path, special), strict=True):
         encoded[k] = ids_of
     if len(known) < REMEMBERED:
         uses = np.bincount(codes, minlength=len(pieces))
@@ -255,15 +265,18 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], np.bincount(owner, weights=each, minlength=len(counts)).astype(np.int64)
 
 
-def encode(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """docs with n_tokens, ids (compressed little-endian uint16, end mark included) for the text."""
+def encode(docs: DataFrame, path: str, end_id: int = END_ID, special: bool = False) -> DataFrame:
+    """docs with n_tokens, ids (compressed little-endian uint16, end mark included) for the text.
+
+    special: literals of added tokens become those tokens, as the library does by default.
+    """
     kept = [c for c in docs.columns if c != "text"]
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*kept).dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for part in large_batches(batches, "text", 12 << 20):
-            ids, counts = encode_texts(part["text"].combine_chunks(), path)
+            ids, counts = encode_texts(part["text"].combine_chunks(), path, special)
             ends = np.cumsum(counts)
             packed = []
             for start, stop in zip(ends - counts, ends, strict=True):
@@ -383,11 +396,11 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def op1_token_output(spark: SparkSession, folder: str) -> DataFrame:
+def op1_token_output(spark: SparkSession, folder: str, special: bool = False) -> DataFrame:
     import public_tokenizers
 
     prepare(spark)
     out = new_path(spark, "tokens")
     docs = in_ranges(table(spark, folder, "documents"), 2 * partitions_of(spark))
-    write(encode(docs, public_tokenizers.path("byte_bpe_50k.json")), out)
+    write(encode(docs, public_tokenizers.path("byte_bpe_50k.json"), special=special), out)
     return read(spark, out)
