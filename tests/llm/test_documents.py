@@ -228,6 +228,22 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert neardup.near_duplicates(frame(spark, []).limit(0)).count() == 0
 
 
+def test_near_copies_without_or_with_one_id(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = [" ".join([*words[:k], "x", *words[k + 1 :]]) for k in (0, 59)]
+    base = " ".join(words)
+    far = " ".join(f"v{k}" for k in range(60))
+    other = [far, far.upper(), far + " end"]
+    rows = [(5, base), (None, near[0]), (None, near[1]), *((None, t) for t in other)]
+    found = neardup.near_duplicates(frame(spark, rows)).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(5, 5), (None, 5), (None, None)}
+    assert sum(r["kept"] for r in found) == 2
+    assert [r["doc_id"] for r in found if r["kept"] and r["component_id"] == 5] == [5]
+    shared = [(5, base), (5, near[0]), (5, near[1]), (6, base)]
+    kept = neardup.keep(frame(spark, shared)).collect()
+    assert len(kept) == 1 and kept[0]["doc_id"] == 5
+
+
 def test_keys_meet_under_the_distance():
     r = np.random.RandomState(1)
     a = r.randint(0, 65536, (50, neardup.SYMBOLS)).astype(np.uint16)

@@ -340,7 +340,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Null or empty texts have no shingles and are linked with nothing. Every
     row is a document of its own, also where rows share a doc_id; a null
     doc_id never names a component of others, and stands for itself if no
-    linked row has an id. Other columns are not read. Empty tables give no rows.
+    linked row has an id. One row of a group is kept, with its repetitions of
+    id and text. Other columns are not read. Empty tables give no rows.
     """
     return _grouped(docs, percent).drop("row_key")
 
@@ -357,7 +358,7 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     signed = stage(signatures(docs), "signatures")
     classes = stage(
         signed.filter("n_shingles > 0").groupBy("class").agg(
-            F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles"),
+            _first_row().alias("first_row"), F.first("n_shingles").alias("n_shingles"),
             F.first("signature").alias("signature")),
         "classes",
     )
@@ -382,25 +383,33 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
         links = stage(found if links is None else links.union(found), "links")
         labels = components(links)
 
-    starts = classes.select("class", "first_doc")
+    starts = classes.select("class", "first_row")
     if labels is not None:
         named = labels.withColumnRenamed("node", "class").join(starts, "class")
-        firsts = named.groupBy("component").agg(F.min("first_doc").alias("component_doc"))
-        linked = named.join(firsts, "component").select("class", "component_doc")
+        firsts = named.groupBy("component").agg(F.min("first_row").alias("component_row"))
+        linked = named.join(firsts, "component").select("class", "component_row")
         starts = starts.join(linked, "class", "left").select(
-            "class", F.coalesce("component_doc", "first_doc").alias("first_doc"))
+            "class", F.coalesce("component_row", "first_row").alias("first_row"))
     out = signed.withColumn("class", F.when(F.col("n_shingles") > 0, F.col("class")))
-    out = out.join(starts, "class", "left").select(
-        "doc_id", "row_key", "n_shingles", F.coalesce("first_doc", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = out.join(starts, "class", "left")
+    named = F.col("first_row").isNotNull()
+    return out.select(
+        "doc_id", "row_key", "n_shingles",
+        F.when(named, F.col("first_row.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(named, F.col("first_row.row_key") == F.col("row_key")).otherwise(F.lit(True)).alias("kept"))
+
+
+def _first_row():
+    """The row that stands for a group: of the least doc_id, one without an id only if there is no other."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
 
 
 def _sets_of(docs: DataFrame, signed: DataFrame, met: DataFrame) -> DataFrame:
-    """class, shingles of the classes in met, from the text of one document each."""
-    chosen = signed.join(met, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.join(chosen.select("doc_id"), "doc_id", "left_semi")
-    # Equal rows once; where rows share a doc_id, the class comes from the text itself.
-    texts = texts.groupBy("doc_id", F.xxhash64("text").alias("_h")).agg(F.first("text").alias("text"))
+    """class, shingles of the classes in met, from the text of one row each."""
+    chosen = signed.join(met, "class", "left_semi").groupBy("class").agg(F.min("row_key").alias("row_key"))
+    texts = docs.join(chosen.select("row_key"), "row_key", "left_semi")
+    # Equal rows once.
+    texts = texts.groupBy("row_key").agg(F.first("text").alias("text"))
     return texts.select("text").mapInArrow(_sets, "class long, shingles array<long>, wide binary")
 
 
