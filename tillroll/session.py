@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,7 @@ RUNTIME = {
 }
 
 _local_folder: dict[str, str] = {}
+_staged: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -52,20 +54,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete every table that this application staged; results still to be read from them go too."""
-    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+def _delete(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Delete every table that this application staged; results still to be read from them go too."""
+    _delete(spark, f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that stage returned, once neither they nor a result from them will be read."""
+    for df in tables:
+        path = _staged.pop(df, None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     Used where a result is read several times: the lineage ends here, a lost
     executor costs nothing already staged, and the reader prunes columns.
+    drop() deletes the table when it is superseded.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _staged[table] = path
+    return table
