@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from tillroll.llm import (
     chat,
+    clusters,
+    codes,
     fingerprint,
     language,
     lm,
@@ -12,6 +14,7 @@ from tillroll.llm import (
     quality,
     sentence,
     tokenstore,
+    urls,
     warc,
 )
 
@@ -27,6 +30,9 @@ QUERIES = {
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_lm_scoring": lm.op10_lm_scoring,
     "op10_word_scoring": lm.op10_word_scoring,
+    "op11_url_filter": urls.op11_url_filter,
+    "op12_centroid_clustering": clusters.op12_centroid_clustering,
+    "op13_vector_codes": codes.op13_vector_codes,
 }
 
 SQL = {
@@ -35,4 +41,7 @@ SQL = {
     "op9_chat_formatting": chat.SQL,
     "op10_lm_scoring": lm.SQL,
     "op10_word_scoring": lm.WORD_SQL,
+    "op11_url_filter": urls.SQL,
+    "op12_centroid_clustering": clusters.SQL,
+    "op13_vector_codes": codes.SQL,
 }
