@@ -17,6 +17,8 @@ RUNTIME = {
     # A hot customer, item or order is split at run time, also where that costs a shuffle.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Shuffle files go when their query ends, not when the driver next frees memory.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 
 _local_folder: dict[str, str] = {}
