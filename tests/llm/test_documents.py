@@ -45,26 +45,29 @@ def frame(spark, rows):
 # --- token files
 
 
-def test_pieces_encode_like_whole_texts():
-    tokenizer = tokenstore._tokenizer(BPE)[0]
+def test_spelled_out_literals_encode_like_whole_texts():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(BPE)
+    tokenizer.encode_special_tokens = True
     texts = [*HARD, *random_texts(500, 1)]
-    ids, counts = tokenstore.encode_texts(pa.array(texts, pa.string()), BPE)
+    ids, counts = tokenstore.encode_texts(pa.array(texts, pa.string()), BPE, special=False)
     want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert counts.tolist() == [len(w) for w in want]
     assert ids.tolist() == list(itertools.chain(*want))
 
 
-def test_special_literals_encode_like_the_library():
+def test_pieces_encode_like_the_library():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(BPE)
     texts = [*HARD, *random_texts(100, 2), "end <|endoftext|> next", "a b<|endoftext|>c d", " <|endoftext|>",
              "<|endoftext|>", "x <|endoftext| y"]
-    ids, counts = tokenstore.encode_texts(pa.array(texts, pa.string()), BPE, special=True)
+    ids, counts = tokenstore.encode_texts(pa.array(texts, pa.string()), BPE)
     want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert counts.tolist() == [len(w) for w in want]
     assert ids.tolist() == list(itertools.chain(*want))
-    spelled, _ = tokenstore.encode_texts(pa.array(["end <|endoftext|> next"]), BPE)
+    spelled, _ = tokenstore.encode_texts(pa.array(["end <|endoftext|> next"]), BPE, special=False)
     assert spelled.tolist() != plain.encode("end <|endoftext|> next", add_special_tokens=False).ids
 
 
@@ -84,8 +87,8 @@ def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(BPE)
-    tokenizer.encode_special_tokens = True
     docs = [(k * 3 % 41, t) for k, t in enumerate(HARD)] + [(None, "null id"), (2, "again"), (2, "again")]
+    docs += [(50, "end <|endoftext|> next"), (51, "<|endoftext|>"), (2**63 - 1, "last"), (-(2**63), "first")]
     frame(spark, docs).selectExpr("*", "1 AS start", "'x' AS ids").write.parquet(
         str(tmp_path / "documents.parquet"))
     rows = tokenstore.op1_token_output(spark, str(tmp_path)).orderBy("start").collect()
@@ -101,6 +104,24 @@ def test_token_files(spark, tmp_path):
         start += row["n_tokens"]
 
 
+def test_token_files_of_an_empty_table(spark, tmp_path):
+    frame(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    assert tokenstore.op1_token_output(spark, str(tmp_path)).collect() == []
+
+
+def test_rows_of_one_id_or_none_are_dealt_out(spark):
+    rows = [(None, f"n{k}") for k in range(300)] + [(7, f"s{k}") for k in range(300)]
+    rows += [(k, f"o{k}") for k in range(300)]
+    docs = frame(spark, rows)
+    encoded = tokenstore.encode(docs, BPE, ranges=tokenstore.Ranges(docs, 8)).collect()
+    per_range: dict[int, int] = {}
+    for r in encoded:
+        per_range[r["range"]] = per_range.get(r["range"], 0) + 1
+    assert max(per_range.values()) < 150 and sum(per_range.values()) == len(rows)
+    order = [r["doc_id"] for r in sorted(encoded, key=lambda r: (r["range"], r["doc_id"] or 0))]
+    assert order == sorted(order, key=lambda d: (d is not None, d or 0))
+
+
 # --- SentencePiece
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -40,6 +41,7 @@ def prepare(spark: SparkSession) -> SparkSession:
             with zipfile.ZipFile(file, "w") as archive:
                 for source in sorted(package.rglob("*.py")):
                     archive.write(source, os.path.join(package.name, source.relative_to(package)))
+        atexit.register(Path(file.name).unlink, missing_ok=True)
         spark.sparkContext.addPyFile(file.name)  # Spark's file server hands it to the executors
         _sent.add(application)
     return spark
@@ -89,7 +91,7 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 def range_cuts(docs: DataFrame, column: str, count: int) -> list[int]:
-    """Ascending values that cut the table into about count equal ranges.
+    """Ascending values that cut the table into about count equal ranges; one that fills several returns.
 
     One pass over a narrow column; the list is as long as the setting count.
     Unlike a range partitioning, which runs its input once more to sample it,
@@ -99,7 +101,7 @@ def range_cuts(docs: DataFrame, column: str, count: int) -> list[int]:
     if not wanted:
         return []
     row = docs.agg(F.percentile_approx(column, wanted, 10 * count).alias("cuts")).first()
-    return sorted(set(row["cuts"] or []))
+    return sorted(row["cuts"] or [])
 
 
 def partitions_of(spark: SparkSession) -> int:

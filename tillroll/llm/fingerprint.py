@@ -159,7 +159,7 @@ def compare_neighbours(docs: DataFrame, known: np.ndarray, ranges: int) -> DataF
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce("text", F.lit("")).alias("text"))
-    cuts = range_cuts(docs, "doc_id", ranges)
+    cuts = sorted(set(range_cuts(docs, "doc_id", ranges)))
     # Range 0 has the largest ids; nulls go to the last one.
     bounds = F.array(*[F.lit(c) for c in reversed(cuts)]).cast("array<bigint>")
     place = F.size(F.filter(bounds, lambda c: F.col("doc_id").isNull() | (F.col("doc_id") < c)))

@@ -157,11 +157,11 @@ _held: dict[tuple[str, bool], tuple[object, dict[str, bytes], np.ndarray, str |
 REMEMBERED = 200_000
 
 
-def _tokenizer(path: str, special: bool = False):
+def _tokenizer(path: str, special: bool = True):
     """Tokenizer, remembered pieces, ids that open with a blank, and a pattern of special literals.
 
     special is the library's default: a text's literal of an added token becomes
-    that token. Else it is spelled out like other text, and the pattern is None.
+    that token. Without it, it is spelled out like other text, and the pattern is None.
     """
     if (path, special) not in _held:
         import os
@@ -182,7 +182,7 @@ def _tokenizer(path: str, special: bool = False):
     return _held[path, special]
 
 
-def _encode_pieces(pieces: list[str], path: str, special: bool = False) -> list[bytes]:
+def _encode_pieces(pieces: list[str], path: str, special: bool = True) -> list[bytes]:
     """The ids of each piece as uint16 bytes.
 
     Pieces that are a blank and a word are joined, many to a text: only the
@@ -214,7 +214,7 @@ def _encode_pieces(pieces: list[str], path: str, special: bool = False) -> list[
     return out
 
 
-def encode_texts(texts: pa.Array, path: str, special: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: pa.Array, path: str, special: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another as uint16, and the number of ids of each text.
 
     The vocabulary's pattern starts a new piece at a single blank between two
@@ -265,13 +265,24 @@ def encode_texts(texts: pa.Array, path: str, special: bool = False) -> tuple[np.
     return ids[order], np.bincount(owner, weights=each, minlength=len(counts)).astype(np.int64)
 
 
-def encode(docs: DataFrame, path: str, end_id: int = END_ID, special: bool = False) -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, end_id: int = END_ID, special: bool = True, ranges: Ranges | None = None
+) -> DataFrame:
     """docs with n_tokens, ids (compressed little-endian uint16, end mark included) for the text.
 
-    special: literals of added tokens become those tokens, as the library does by default.
+    With ranges also the range of doc_id that a row belongs to.
+
+    special: literals of added tokens become those tokens, as the library does by
+    default; without it they are spelled out. A null text is encoded like an
+    empty one: the end mark alone. Long texts are encoded whole, repeated rows
+    each, and an empty table gives no rows. Ids must be below 65,536; a vocabulary
+    with larger ones ends in an OverflowError.
     """
     kept = [c for c in docs.columns if c != "text"]
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*kept).dtypes)
+    if ranges:
+        docs = docs.withColumn("_part", F.pmod(F.xxhash64("text"), F.lit(SPREAD)))
+        schema += ", range long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -281,21 +292,40 @@ def encode(docs: DataFrame, path: str, end_id: int = END_ID, special: bool = Fal
             packed = []
             for start, stop in zip(ends - counts, ends, strict=True):
                 packed.append(squeeze.compress(np.append(ids[start:stop], np.uint16(end_id)).tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [*(part[c].combine_chunks() for c in kept), pa.array(counts + 1),
-                 pa.array(packed, pa.binary())],
-                [*kept, "n_tokens", "ids"],
-            )
+            arrays = {c: part[c].combine_chunks() for c in kept}
+            if ranges:
+                arrays["range"] = ranges.numbers(arrays["doc_id"], part["_part"].combine_chunks())
+            arrays |= {"n_tokens": pa.array(counts + 1), "ids": pa.array(packed, pa.binary())}
+            yield pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
 
     return docs.mapInArrow(run, f"{schema}, n_tokens long, ids binary")
 
 
-def in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
-    """doc_id, range, text: range numbers ascend with doc_id, null ids in range 0."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cuts = F.array(*[F.lit(c) for c in range_cuts(rows, "doc_id", ranges)]).cast("array<bigint>")
-    below = F.size(F.filter(cuts, lambda c: F.coalesce(c <= F.col("doc_id"), F.lit(False))))
-    return rows.select("doc_id", below.cast("long").alias("range"), "text")
+#: Parts that the rows of one range are dealt to if no id separates them: null ids, and an id with many rows.
+SPREAD = 16
+
+
+class Ranges:
+    """Numbers of ranges of doc_id, found by binary search: ascending with doc_id, null ids first.
+
+    Rows without an id, and those of an id that alone fills a range, are dealt
+    further by a hash of their text, so that no task holds them all; their
+    parts follow each other.
+    """
+
+    def __init__(self, docs: DataFrame, ranges: int) -> None:
+        cuts = range_cuts(docs.select(F.col("doc_id").cast("long")), "doc_id", ranges)
+        values, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+        self.crowded = values[times > 1]
+        # Each of them has a range of its own.
+        self.cuts = np.unique(np.concatenate([values, self.crowded[self.crowded < 2**63 - 1] + 1]))
+
+    def numbers(self, doc_ids: pa.Array, parts: pa.Array) -> pa.Array:
+        null = pc.is_null(doc_ids).to_numpy(zero_copy_only=False)
+        ids = pc.fill_null(doc_ids, 0).to_numpy(zero_copy_only=False)
+        place = np.where(null, 0, 1 + np.searchsorted(self.cuts, ids, side="right"))
+        spread = null | np.isin(ids, self.crowded)
+        return pa.array(place * SPREAD + np.where(spread, parts.to_numpy(), 0), pa.int64())
 
 
 # ---------------------------------------------------------------- files
@@ -396,11 +426,12 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def op1_token_output(spark: SparkSession, folder: str, special: bool = False) -> DataFrame:
+def op1_token_output(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     prepare(spark)
     out = new_path(spark, "tokens")
-    docs = in_ranges(table(spark, folder, "documents"), 2 * partitions_of(spark))
-    write(encode(docs, public_tokenizers.path("byte_bpe_50k.json"), special=special), out)
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ranges = Ranges(docs, 2 * partitions_of(spark))
+    write(encode(docs, public_tokenizers.path("byte_bpe_50k.json"), ranges=ranges), out)
     return read(spark, out)
