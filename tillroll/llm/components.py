@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.session import stage
+from tillroll.session import drop, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -45,8 +45,10 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         after = stage(_small_star(_large_star(now)).distinct(), "links")
         fresh = print_of(after)
+        drop(now)
+        now = after
         if fresh == mark:
             break
-        now, mark = after, fresh
+        mark = fresh
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tillroll.llm.common import large_batches, mixed, prepare, table, words_of
 from tillroll.llm.components import components
-from tillroll.session import stage
+from tillroll.session import drop, stage
 
 WORDS = 5
 PERCENT = 75
@@ -36,6 +36,11 @@ WIDE = 512
 #: in the last round, which compares all that is still apart.
 STAR_ROUNDS = 2
 BLOCK = 1024
+#: A key is hot if this share of the classes has it, by one class in SAMPLED: hot keys are not
+#: exchanged, since it is known that they are shared. There are at most HOT_ONE_IN * CHUNKS * PER_CHUNK.
+HOT_ONE_IN = 2000
+SAMPLED = 64
+HOT_SEEN = 16
 
 _random = np.random.RandomState(20240607)
 _FACTORS = (
@@ -100,8 +105,9 @@ def wide_signature(shingles: np.ndarray) -> np.ndarray:
     return (_least(shingles, slice(SYMBOLS, None)) & np.uint64(255)).astype(np.uint8)
 
 
-def _class_of(shingles: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(shingles.tobytes())
+def _set_name(shingles: np.ndarray) -> bytes:
+    """Sixteen bytes that name a set: 10^10 sets have two alike with a probability of 10^-19."""
+    return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
 def keys_of(symbols: np.ndarray) -> np.ndarray:
@@ -126,33 +132,64 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, prints, symbols = [], [], []
         for shingles in shingle_sets(part["text"]):
             sizes.append(len(shingles))
-            prints.append(_class_of(shingles))
+            prints.append(_set_name(shingles))
             symbols.append(signature(shingles))
         yield pa.RecordBatch.from_arrays(
             [
                 part["doc_id"].combine_chunks(),
                 part["row_key"].combine_chunks(),
                 pa.array(sizes, pa.int64()),
-                pa.array(np.array(prints, np.uint64).view(np.int64)),
+                pa.array(prints, pa.binary()),
                 pa.array([s.tobytes() for s in symbols], pa.binary()),
             ],
-            ["doc_id", "row_key", "n_shingles", "class", "signature"],
+            ["doc_id", "row_key", "n_shingles", "set_name", "signature"],
         )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """n_shingles, class (a hash of the whole set) and signature of every doc_id, row_key, text."""
+    """n_shingles, set_name (128 bits of the whole set) and signature of every doc_id, row_key, text."""
     return docs.mapInArrow(
-        _sign, "doc_id long, row_key long, n_shingles long, class long, signature binary"
+        _sign, "doc_id long, row_key long, n_shingles long, set_name binary, signature binary"
     )
 
 
-def _explode_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        symbols = np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        keys = keys_of(symbols)
-        classes = np.repeat(batch["class"].to_numpy(), keys.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(classes)], ["key", "class"])
+def _keyed(classes: DataFrame, hot: np.ndarray, chosen: bool = False) -> DataFrame:
+    """key, class for all keys of the classes: those that are hot, or those that are not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            symbols = np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+            keys = keys_of(symbols)
+            named = np.repeat(batch["class"].to_numpy(), keys.shape[1])
+            keys = keys.ravel()
+            if len(hot):
+                own = np.isin(keys, hot) == chosen
+                keys, named = keys[own], named[own]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(named)], ["key", "class"])
+
+    return classes.select("class", "signature").mapInArrow(run, "key long, class long")
+
+
+def _hot_keys(classes: DataFrame) -> np.ndarray:
+    """Keys that a sample of the classes has often. Only the way of their rows depends on it, no result."""
+    sample = classes.filter(F.pmod(F.xxhash64("class"), F.lit(SAMPLED)) == 0)
+    size = sample.count()
+    seen = _keyed(sample, np.empty(0, np.int64)).groupBy("key").count()
+    often = seen.filter(F.col("count") >= max(HOT_SEEN, size // HOT_ONE_IN))
+    return np.array([r["key"] for r in often.collect()], np.int64)  # bounded, see HOT_ONE_IN
+
+
+def _members(classes: DataFrame) -> DataFrame:
+    """key, class of the keys that at least two classes have.
+
+    One exchange, by key, serves both the search for shared keys and the join
+    with them. Rows of hot keys stay where they are, so no task gets them all.
+    """
+    hot = _hot_keys(classes)
+    dealt = _keyed(classes, hot).repartition("key")
+    shared = dealt.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi")
+    members = dealt.join(shared.select("key").hint("shuffle_merge"), "key", "left_semi")
+    return members.union(_keyed(classes, hot, chosen=True)) if len(hot) else members
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +200,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = np.concatenate(found) if found else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.array([_class_of(s) for s in found], np.uint64).view(np.int64)),
+                part["class"].combine_chunks(),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
                 pa.array([wide_signature(s.view(np.uint64)).tobytes() for s in found], pa.binary()),
             ],
@@ -330,8 +367,8 @@ def _first_key(differ: np.ndarray) -> np.ndarray:
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
-    Rows with equal sets form a class, named by a 64-bit hash of the set; the
-    classes' signatures meet by key. Members of a key are first held against
+    Rows with equal sets, by 128 bits of the set, form a class; the classes'
+    signatures meet by key. Members of a key are first held against
     one of them, which folds a group of near copies into a component at linear
     cost; what is still apart is compared in blocks. Every link is confirmed on
     full sets. A signature misses a pair at exactly 75 % with a probability of
@@ -343,35 +380,35 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     linked row has an id. One row of a group is kept, with its repetitions of
     id and text. Other columns are not read. Empty tables give no rows.
     """
-    return _grouped(docs, percent).drop("row_key")
+    named = docs.select("doc_id", "text").withColumn("row_key", _row_key(["doc_id", "text"]))
+    return _grouped(named, percent).drop("row_key")
 
 
-def _row_key():
-    """Names a row by its id and text; repeated rows share it."""
-    return F.xxhash64("doc_id", F.xxhash64("text"))
+def _row_key(columns: Iterable[str]):
+    """Names a row, together with its doc_id; rows equal in all columns share it."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in columns])
 
 
 def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """docs: doc_id, text, row_key."""
     prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    docs = docs.withColumn("row_key", _row_key())
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "row_key")
     signed = stage(signatures(docs), "signatures")
-    classes = stage(
-        signed.filter("n_shingles > 0").groupBy("class").agg(
-            _first_row().alias("first_row"), F.first("n_shingles").alias("n_shingles"),
-            F.first("signature").alias("signature")),
-        "classes",
-    )
-    keyed = classes.select("class", "signature").mapInArrow(_explode_keys, "key long, class long")
-    shared = keyed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi")
-    members = stage(keyed.join(shared.select("key"), "key", "left_semi"), "members")
-    members = stage(_with_scores(members), "members")
-    sets = stage(_sets_of(docs, signed, members.select("class").distinct()), "sets")
+    classes = signed.filter("n_shingles > 0").groupBy("set_name").agg(
+        _first_row().alias("first_row"), F.first("n_shingles").alias("n_shingles"),
+        F.first("signature").alias("signature"))
+    # Numbers are unique, and fixed once they are written.
+    classes = stage(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    met = stage(_members(classes), "members")
+    members = stage(_with_scores(met), "members")
+    drop(met)
+    sets = stage(_sets_of(docs, classes, members.select("class").distinct()), "sets")
 
     links, labels = None, None
     for turn in range(STAR_ROUNDS + 1):
         apart = stage(_apart(members, labels), "apart")
         if apart.isEmpty():
+            drop(apart)
             break
         if turn < STAR_ROUNDS:
             near = _near(_star_pairs(apart, turn), sets, percent)
@@ -380,23 +417,26 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
         else:
             pairs = _block_pairs(apart, classes, sets, percent)
         found = _confirmed(pairs, sets, percent)
-        links = stage(found if links is None else links.union(found), "links")
-        labels = components(links)
+        before, links = links, stage(found if links is None else links.union(found), "links")
+        drop(apart, *[t for t in (before, labels) if t is not None])
+        labels = stage(components(links), "labels")
+    drop(members, sets)
 
-    starts = classes.select("class", "first_row")
+    starts = classes.select("set_name", "class", "first_row")
     if labels is not None:
         named = labels.withColumnRenamed("node", "class").join(starts, "class")
         firsts = named.groupBy("component").agg(F.min("first_row").alias("component_row"))
         linked = named.join(firsts, "component").select("class", "component_row")
         starts = starts.join(linked, "class", "left").select(
-            "class", F.coalesce("component_row", "first_row").alias("first_row"))
-    out = signed.withColumn("class", F.when(F.col("n_shingles") > 0, F.col("class")))
-    out = out.join(starts, "class", "left")
+            "set_name", F.coalesce("component_row", "first_row").alias("first_row"))
+    out = signed.withColumn("set_name", F.when(F.col("n_shingles") > 0, F.col("set_name")))
+    out = out.join(starts.select("set_name", "first_row"), "set_name", "left")
     named = F.col("first_row").isNotNull()
+    own = (F.col("first_row.row_key") == F.col("row_key")) & F.col("first_row.doc_id").eqNullSafe(F.col("doc_id"))
     return out.select(
         "doc_id", "row_key", "n_shingles",
         F.when(named, F.col("first_row.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(named, F.col("first_row.row_key") == F.col("row_key")).otherwise(F.lit(True)).alias("kept"))
+        F.when(named, own).otherwise(F.lit(True)).alias("kept"))
 
 
 def _first_row():
@@ -404,13 +444,14 @@ def _first_row():
     return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
 
 
-def _sets_of(docs: DataFrame, signed: DataFrame, met: DataFrame) -> DataFrame:
-    """class, shingles of the classes in met, from the text of one row each."""
-    chosen = signed.join(met, "class", "left_semi").groupBy("class").agg(F.min("row_key").alias("row_key"))
-    texts = docs.join(chosen.select("row_key"), "row_key", "left_semi")
+def _sets_of(docs: DataFrame, classes: DataFrame, met: DataFrame) -> DataFrame:
+    """class, shingles, wide of the classes in met, from the text of their first row."""
+    chosen = classes.join(met, "class", "left_semi").select(
+        "class", F.col("first_row.row_key").alias("row_key"), F.col("first_row.doc_id").alias("_doc_id"))
+    texts = docs.join(chosen, "row_key").filter(F.col("doc_id").eqNullSafe(F.col("_doc_id")))
     # Equal rows once.
-    texts = texts.groupBy("row_key").agg(F.first("text").alias("text"))
-    return texts.select("text").mapInArrow(_sets, "class long, shingles array<long>, wide binary")
+    texts = texts.groupBy("row_key", "class").agg(F.first("text").alias("text"))
+    return texts.select("class", "text").mapInArrow(_sets, "class long, shingles array<long>, wide binary")
 
 
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
@@ -418,11 +459,18 @@ def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def keep(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that stand for their group, with the columns of docs; repeated rows once."""
-    kept = _grouped(docs, percent).filter("kept").select(F.col("row_key").alias("_row_key"))
-    rows = docs.select(
+    """The rows of docs that stand for their group, with the columns of docs; equal rows once.
+
+    Of rows with one id and text, that with the least hash of all its columns stays.
+    """
+    given = docs.withColumn("_row_key", _row_key(docs.columns))
+    kept = _grouped(
+        given.select("doc_id", "text", F.col("_row_key").alias("row_key")), percent
+    ).filter("kept").select("doc_id", F.col("row_key").alias("_row_key"))
+    rows = given.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-        F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.select("_row", "doc_id", _row_key().alias("_row_key"))
-    rows = rows.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key", "doc_id"])
+        F.col("doc_id").cast("long").alias("_doc_id"), "_row_key")
+    kept = kept.withColumnRenamed("_row_key", "_kept_key")
+    same = (F.col("_row_key") == F.col("_kept_key")) & F.col("_doc_id").eqNullSafe(F.col("doc_id"))
+    rows = rows.join(kept, same, "left_semi").dropDuplicates(["_row_key", "_doc_id"])
     return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
