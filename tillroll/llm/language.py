@@ -38,30 +38,59 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == HELD_OUT
 
 
+#: Rows looked at for a language's sample, as a multiple of SAMPLE_DOCS. If too few of them are
+#: long, the search goes on with SEARCH times as many.
+SEARCH = 4
+
+
+def _sample(docs: DataFrame) -> dict[str, list[str]]:
+    """Texts of each language's sample in order: the SAMPLE_DOCS rows with the least hash of their id.
+
+    Rows are admitted by a threshold of the hash that lets about SEARCH *
+    SAMPLE_DOCS of a language pass, and their texts are cut before they are
+    moved, so what is exchanged does not grow with the table.
+    """
+    spark = docs.sparkSession
+    known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = known.select("lang", "text", F.xxhash64("doc_id").alias("hash"))
+    counts = known.groupBy("lang").count().collect()  # a row per language
+    shares = {r["lang"]: SEARCH * SAMPLE_DOCS / r["count"] for r in counts}
+    found: dict[str, list[str]] = {}
+    while shares:
+        limits = spark.createDataFrame(
+            [(k, min(2**63 - 1, int(share * 2**64) - 2**63)) for k, share in shares.items()],
+            "lang string, most long")
+        admitted = rows.join(F.broadcast(limits), "lang").filter(F.col("hash") <= F.col("most"))
+        admitted = admitted.filter(F.col("text").rlike(r"\p{L}")).withColumn("text", letters_only())
+        cut = admitted.select("lang", "hash", (F.length("text") < 200).alias("short"),
+                              F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("short", "hash", "text"))
+        picked = cut.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_DOCS).collect()  # bounded
+        by_language: dict[str, list] = {k: [] for k in shares}
+        for row in picked:
+            by_language[row["lang"]].append(row)
+        for k, own in by_language.items():
+            long = sum(not row["short"] for row in own)
+            if shares[k] >= 1 or long == SAMPLE_DOCS:
+                found[k] = [row["text"] for row in sorted(own, key=lambda row: row["rank"])]
+        shares = {k: share * SEARCH for k, share in shares.items() if k not in found}
+    return found
+
+
 def dictionaries(docs: DataFrame) -> dict[str, bytes]:
     """Raw content per language from a bounded sample of labelled, not held-out rows.
 
     The SAMPLE_DOCS rows of each language with the smallest hash of their id
-    that hold at least 200 characters, or any if there are none so long. The
-    ranking limit applies before the shuffle, and what reaches the driver is
-    at most SAMPLE_DOCS * SAMPLE_CHARS characters for a language. Texts that
-    read alike are taken once, so copies don't fill a dictionary.
+    that hold at least 200 characters, and shorter ones if there are too few;
+    of each its first SAMPLE_CHARS characters. Texts that read alike are taken
+    once, so copies don't fill a dictionary.
     """
-    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = rows.withColumn("text", letters_only())
-    order = [F.length("text") < 200, F.xxhash64(F.col("doc_id")), F.col("text")]
-    ranked = rows.select("lang", "text", F.row_number().over(
-        Window.partitionBy("lang").orderBy(*order)).alias("_rank"))
-    sample = (
-        ranked.filter(F.col("_rank") <= SAMPLE_DOCS)
-        .select("lang", "_rank", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-        .collect()  # bounded, see above
-    )
     contents: dict[str, bytes] = {}
-    for row in sorted(sample, key=lambda r: (r["lang"], -r["_rank"])):
-        piece = row["text"].encode()
-        if piece not in contents.get(row["lang"], b""):
-            contents[row["lang"]] = (contents.get(row["lang"], b"") + piece)[-DICTIONARY_BYTES:]
+    for language, texts in sorted(_sample(docs).items()):
+        for text in reversed(texts):  # the compressor favours the end
+            piece = text.encode()
+            if piece not in contents.get(language, b""):
+                contents[language] = (contents.get(language, b"") + piece)[-DICTIONARY_BYTES:]
     return contents
 
 

@@ -68,7 +68,8 @@ def boundaries(counts: np.ndarray, buckets: int) -> list[int]:
 def pieces(docs: DataFrame, length: Column, keys: list[str], how: Packing) -> DataFrame:
     """keys, piece, start, length: every document cut at multiples of the window."""
     cut = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("_length") / how.window) - 1, F.lit(0)))
-    return docs.select(*keys, length.cast("long").alias("_length")).select(
+    known = F.coalesce(length.cast("long"), F.lit(1))
+    return docs.select(*keys, known.alias("_length")).select(
         *keys, F.col("_length"), F.explode(cut).alias("piece")
     ).select(
         *keys,
@@ -92,7 +93,7 @@ def pack(
     for, so a bucket that holds most rows is numbered by many tasks; each shard
     may leave one batch part full.
 
-    A null or empty text has one piece, of its end mark. Rows that share keys
+    A null or empty text has one piece, of its end mark; so has a row whose length is null. Rows that share keys
     are packed each; an empty table gives no rows; other columns are left out.
     """
     keys = list(keys)
