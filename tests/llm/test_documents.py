@@ -158,8 +158,8 @@ def test_sentencepiece_decodes_any_ids():
 
 
 def test_language_on_held_out_documents(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    found = language.op4_language_id(spark, "/root/testdata/sf0.01").filter("held_out")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = language.op4_language_id(spark, "/root/testdata/sf0.1").filter("held_out")
     both = found.join(docs.select("doc_id", "lang"), "doc_id").collect()
     right = sum(r["lang"] == r["lang_pred"] for r in both)
     assert right >= 0.98 * len(both) and all(0 <= r["score"] <= 1 for r in both)
@@ -201,7 +201,7 @@ def test_language_sample_is_that_of_a_full_ranking(spark, monkeypatch, search):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     from pyspark.sql import functions as F
 
-    ranked = docs.filter(~language.held_out() & docs.lang.isNotNull() & docs.text.rlike(r"\\p{L}")).select(
+    ranked = docs.filter(~language.held_out() & docs.lang.isNotNull() & docs.text.rlike(r"\p{L}")).select(
         "lang", F.xxhash64("doc_id").alias("h"), language.letters_only().alias("text")).collect()
     want: dict[str, list] = {}
     for r in sorted(ranked, key=lambda r: (len(r["text"]) < 200, r["h"], r["text"])):
