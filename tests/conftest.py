@@ -40,5 +40,6 @@ def retail():
 def quick():
     """Settings for model tests: the same code, small searches."""
     return replace(
-        ONLINE_RETAIL, tune_candidates=2, tune_folds=2, forest_trees=5, cv_slices=2
+        ONLINE_RETAIL, tune_candidates=2, tune_folds=2, forest_trees=5, cv_slices=2,
+        forest_tree_range=(2, 6), boost_round_range=(2, 5), committee_range=(1, 2),
     )

@@ -98,8 +98,9 @@ def test_tune_combine_refit_forecast(panel, quick):
     tuned = demand.tune(panel, quick)
     assert sorted({**base, **tuned.models}) == sorted(demand.NAMES)
     assert tuned.results.count() == 4 * quick.tune_candidates
-    first = tuned.results.groupBy("model_id").agg(F.min_by("rank", "rmse").alias("r")).collect()
-    assert all(r["r"] == 1 for r in first)
+    first = tuned.results.groupBy("model_id").agg(
+        F.min("rmse").alias("least"), F.min_by("rmse", "rank").alias("first")).collect()
+    assert all(r["first"] == r["least"] for r in first)
 
     found = demand.predict({**base, **tuned.models}, panel.test).cache()
     assert found.count() == 10 * 180 and found.filter("predicted is null").isEmpty()
@@ -131,8 +132,45 @@ def test_tune_combine_refit_forecast(panel, quick):
     assert len(rows) == 10 and all(r["n"] == 2 and r["rmse_sd"] is not None for r in rows)
 
 
-def test_candidates_are_seeded(panel, quick):
-    for make in (regressors.forest_candidates, regressors.boost_candidates, regressors.rules_candidates):
-        a, b = make(quick)[1], make(quick)[1]
-        assert [regressors.describe(x) for x in a] == [regressors.describe(x) for x in b]
-    assert len(regressors.spline_candidates(panel.train, quick)[1]) == quick.tune_candidates
+def test_candidates_are_seeded(quick, retail):
+    makers = (
+        regressors.forest_candidates, regressors.boost_candidates, regressors.spline_candidates, regressors.rules_candidates
+    )
+    for make in makers:
+        assert make(quick) == make(quick) and len(make(quick)) == quick.tune_candidates
+        texts = {regressors.describe(c) for c in make(retail)}
+        assert len(texts) == retail.tune_candidates == 10
+    groups = regressors.same_but(regressors.boost_candidates(retail), "maxIter")
+    assert sorted(map(len, groups)) == [5, 5] and sorted(sum(groups, [])) == list(range(10))
+
+
+def test_scores_after_fewer_rounds_equal_separate_fits(panel, quick):
+    train, held = panel.train_cleaned.filter("fold = 0"), panel.train_cleaned.filter("fold != 0")
+    group = [{"maxDepth": 3, "stepSize": 0.2, "featureSubsetStrategy": "0.5", "maxIter": n} for n in (2, 5, 3)]
+    found = demand.boost_errors(train, held, group, quick)
+    for candidate, error in zip(group, found, strict=True):
+        alone = demand.fit_of(2, candidate, quick)(train).transform(held)
+        want = alone.agg(F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2))).first()[0]
+        assert error == pytest.approx(want, rel=1e-9)
+
+
+def test_a_larger_forest_holds_the_smaller_one(panel, quick):
+    train, held = panel.train_cleaned.filter("fold = 0"), panel.train_cleaned.filter("fold != 0")
+    shape = {"featureSubsetStrategy": "0.5", "minInstancesPerNode": 5}
+    small, large = demand.forest_errors(train, held, [{**shape, "numTrees": n} for n in (3, 8)], quick)
+    first = demand.fit_of(1, {**shape, "numTrees": 3}, quick)(train).transform(held)
+    more = demand.fit_of(1, {**shape, "numTrees": 5, "seed": quick.seed + 1}, quick)(train).transform(
+        first.withColumnRenamed("prediction", "p"))
+    got = more.agg(
+        F.sqrt(F.avg((F.col("label") - F.col("p")) ** 2)),
+        F.sqrt(F.avg((F.col("label") - (3 * F.col("p") + 5 * F.col("prediction")) / 8) ** 2))).first()
+    assert [small, large] == pytest.approx(list(got))
+
+
+def test_cross_validation_scores_every_fold(panel, quick):
+    grids = demand.candidates(quick)
+    found = demand.cross_validate(panel.train_cleaned, grids, quick)
+    assert {k: len(v) for k, v in found.items()} == {k: len(g) for k, g in grids.items()}
+    parts = [(panel.train_cleaned.filter(f"fold != {f}"), panel.train_cleaned.filter(f"fold = {f}")) for f in (0, 1)]
+    by_fold = [demand.rules_errors(a, b, grids[4], quick) for a, b in parts]
+    assert found[4] == pytest.approx([(x + y) / 2 for x, y in zip(*by_fold, strict=True)])

@@ -40,11 +40,18 @@ class Settings:
     # Trees of the base forest and their depth; tuned forests draw their trees from the range.
     forest_trees: int = 100
     forest_depth: int = 12
-    forest_tree_range: tuple[int, int] = (20, 100)
-    # Rounds of the tuned boosts, and knots and degree of the tuned splines.
-    boost_round_range: tuple[int, int] = (5, 30)
-    spline_knot_range: tuple[int, int] = (1, 4)
+    forest_tree_range: tuple[int, int] = (10, 120)
+    # Rounds of the tuned boosts.
+    boost_round_range: tuple[int, int] = (5, 40)
+    # Candidates that differ only in trees or rounds, at a time: the longest fit scores the others.
+    forest_sizes: int = 2
+    boost_sizes: int = 5
+    # Terms (constant included) and factors of a term of the tuned splines.
+    spline_term_range: tuple[int, int] = (2, 20)
     spline_degree_range: tuple[int, int] = (1, 2)
+    # Members of a tuned committee of rules, and near rows that correct it.
+    committee_range: tuple[int, int] = (1, 5)
+    neighbor_range: tuple[int, int] = (0, 9)
     # Forecast shown per series: the home market uses one model, the rest another.
     home_model: str = "BOOST - Tuned"
     other_model: str = "ENSEMBLE (MEAN): 4 MODELS"

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import (
@@ -29,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.config import Settings
+from tillroll.operators import splines
+from tillroll.operators.committees import CommitteeModel, fit_members
 from tillroll.operators.series import DAY, SERIES, VALUE
 
 NOMINAL = [SERIES, "month_lbl", "wday_lbl"]
@@ -83,9 +84,12 @@ def forest(settings: Settings, **params) -> RandomForestRegressor:
         "maxDepth": settings.forest_depth,
         "minInstancesPerNode": 5,
         "featureSubsetStrategy": "sqrt",
+        # Rows remember their nodes, so deep levels don't walk every tree again.
+        "cacheNodeIds": True,
+        "seed": settings.seed,
         **params,
     }
-    return RandomForestRegressor(seed=settings.seed, **size)
+    return RandomForestRegressor(**size)
 
 
 # --- trend and seasons -----------------------------------------------------
@@ -166,120 +170,112 @@ def rules_model(settings: Settings, depth: int = 3) -> Pipeline:
 # --- splines ---------------------------------------------------------------
 
 
-def spline_columns(
-    train: DataFrame, settings: Settings, knots: int, degree: int
-) -> tuple[str, list[str]]:
-    """Hinges at evenly spaced quantiles of the continuous features, and their products."""
-    inputs = ["index_num", "yday", *lag_columns(settings)]
-    shares = [(j + 1) / (knots + 1) for j in range(knots)]
-    found = train.approxQuantile(inputs, shares, 0.001)
-    hinges: dict[str, str] = {}
-    for column, at in zip(inputs, found):
-        low, high = at[0], at[-1]
-        size = max(abs(low), abs(high), 1.0)  # keeps hinge values near 1
-        for j, knot in enumerate(dict.fromkeys(at)):
-            hinges[f"{column}_over{j}"] = f"greatest({column} - {knot!r}D, 0D) / {size!r}D"
-            hinges[f"{column}_under{j}"] = f"greatest({knot!r}D - {column}, 0D) / {size!r}D"
-    columns = dict(hinges)
-    if degree == 2:
-        names = list(hinges)
-        for i, a in enumerate(names):
-            for b in names[i + 1 :]:
-                if a.rsplit("_", 1)[0] != b.rsplit("_", 1)[0]:
-                    columns[f"{a}_x_{b}"] = f"({hinges[a]}) * ({hinges[b]})"
-    exprs = ", ".join(f"{e} AS {c}" for c, e in columns.items())
-    return f"SELECT *, {exprs} FROM __THIS__", list(columns)
+def spline_dictionary(train: DataFrame, settings: Settings, degree: int) -> splines.Dictionary:
+    """Hinges of the time and of the lags, products of them, calendar fields and waves."""
+    curved = ["index_num", "yday", *lag_columns(settings)]
+    waves = [f"{w}{p}_k1" for p in settings.roll_periods for w in ("sin", "cos")]
+    labels = ("month_lbl", "wday_lbl")
+    found = train.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in labels]).first()  # 12 and 7 values
+    plain = [c for c in ["year", *CALENDAR, *waves] if c not in curved]
+    return splines.dictionary(train, plain, curved, {c: found[c] for c in labels}, degree)
 
 
-def spline_stages(
-    train: DataFrame, settings: Settings, knots: int = 3, degree: int = 1
-) -> tuple[SQLTransformer, VectorAssembler, LinearRegression]:
-    statement, names = spline_columns(train, settings, knots, degree)
-    gather = VectorAssembler(inputCols=["features", *names], outputCol="spline_features")
-    line = LinearRegression(
-        featuresCol="spline_features", regParam=0.001, elasticNetParam=1.0, maxIter=100
-    )
-    return SQLTransformer(statement=statement), gather, line
+def fit_splines(train: DataFrame, settings: Settings, num_terms: int = 21, prod_degree: int = 1) -> splines.SplineModel:
+    return splines.fit(train, spline_dictionary(train, settings, prod_degree), prod_degree, num_terms)
+
 
+# --- candidates for tuning -------------------------------------------------
 
-def spline_model(train: DataFrame, settings: Settings) -> Pipeline:
-    return Pipeline(stages=list(spline_stages(train, settings)))
 
+Candidate = dict[str, float | int | str]
 
-# --- candidates for tuning -------------------------------------------------
+
+def with_params(model, candidate: Candidate):
+    """The estimator with these parameters."""
+    return model.copy({model.getParam(name): value for name, value in candidate.items()})
+
+
+def _distinct(draw, count: int, most: int) -> list:
+    """count different draws, or as many as there are."""
+    found: dict = {}
+    while len(found) < min(count, most):
+        found[draw()] = None
+    return list(found)
 
 
-def forest_candidates(settings: Settings) -> tuple[Pipeline, list[dict]]:
+def _sized(settings: Settings, shape, name: str, ends: tuple[int, int], at_a_time: int) -> list[Candidate]:
+    """tune_candidates candidates; some at a time differ only in the parameter name."""
     draw = random.Random(settings.seed)
-    model = forest(settings)
-    grid = [
-        {
-            model.featureSubsetStrategy: str(round(draw.uniform(0.1, 1.0), 2)),
-            model.numTrees: draw.randint(*settings.forest_tree_range),
-            model.minInstancesPerNode: draw.randint(2, 40),
+    out: list[Candidate] = []
+    low, high = ends
+    while len(out) < settings.tune_candidates:
+        same = shape(draw)
+        sizes = _distinct(lambda: draw.randint(low, high), at_a_time, high - low + 1)
+        out += [{**same, name: n} for n in sorted(sizes)]
+    return out[: settings.tune_candidates]
+
+
+def forest_candidates(settings: Settings) -> list[Candidate]:
+    def shape(draw: random.Random) -> Candidate:
+        return {
+            "featureSubsetStrategy": str(round(draw.uniform(0.1, 1.0), 2)),
+            "minInstancesPerNode": draw.randint(2, 40),
         }
-        for _ in range(settings.tune_candidates)
-    ]
-    return Pipeline(stages=[model]), grid
 
+    return _sized(settings, shape, "numTrees", settings.forest_tree_range, settings.forest_sizes)
 
-def boost_candidates(settings: Settings) -> tuple[Pipeline, list[dict]]:
-    draw = random.Random(settings.seed)
-    model = boost(settings)
-    grid = [
-        {
-            model.featureSubsetStrategy: str(round(draw.uniform(0.1, 1.0), 2)),
-            model.maxIter: draw.randint(*settings.boost_round_range),
-            model.minInstancesPerNode: draw.randint(2, 40),
-            model.maxDepth: draw.randint(2, 7),
-            model.stepSize: round(10 ** draw.uniform(-1.5, -0.5), 4),
-            model.minInfoGain: 10 ** draw.uniform(-10, -2),
+
+def boost_candidates(settings: Settings) -> list[Candidate]:
+    def shape(draw: random.Random) -> Candidate:
+        return {
+            "featureSubsetStrategy": str(round(draw.uniform(0.1, 1.0), 2)),
+            "minInstancesPerNode": draw.randint(2, 40),
+            "maxDepth": draw.randint(2, 7),
+            "stepSize": round(10 ** draw.uniform(-1.5, -0.5), 4),
+            "minInfoGain": 10 ** draw.uniform(-10, -2),
         }
-        for _ in range(settings.tune_candidates)
-    ]
-    return Pipeline(stages=[model]), grid
+
+    return _sized(settings, shape, "maxIter", settings.boost_round_range, settings.boost_sizes)
+
+
+def same_but(candidates: list[Candidate], name: str) -> list[list[int]]:
+    """Places of the candidates in groups that differ in one parameter only."""
+    groups: dict[tuple, list[int]] = {}
+    for k, candidate in enumerate(candidates):
+        key = tuple(sorted((n, str(v)) for n, v in candidate.items() if n != name))
+        groups.setdefault(key, []).append(k)
+    return list(groups.values())
 
 
-def spline_candidates(train: DataFrame, settings: Settings) -> tuple[Pipeline, list[dict]]:
+def spline_candidates(settings: Settings) -> list[Candidate]:
     draw = random.Random(settings.seed)
-    add, gather, line = spline_stages(train, settings)
-    grid = []
-    for _ in range(settings.tune_candidates):
-        knots = draw.randint(*settings.spline_knot_range)
-        degree = draw.randint(*settings.spline_degree_range)
-        statement, names = spline_columns(train, settings, knots, degree)
-        grid.append(
-            {
-                add.statement: statement,
-                gather.inputCols: ["features", *names],
-                line.regParam: round(10 ** draw.uniform(-4, -1), 6),
-            }
-        )
-    return Pipeline(stages=[add, gather, line]), grid
-
-
-def rules_candidates(settings: Settings) -> tuple[Pipeline, list[dict]]:
+    (low, high), (least, most) = settings.spline_term_range, settings.spline_degree_range
+    pairs = _distinct(
+        lambda: (draw.randint(low, high), draw.randint(least, most)), settings.tune_candidates,
+        (high - low + 1) * (most - least + 1))
+    return [{"num_terms": n, "prod_degree": d} for n, d in pairs]
+
+
+def rules_candidates(settings: Settings) -> list[Candidate]:
     draw = random.Random(settings.seed)
-    model = rules_model(settings)
-    tree, line = model.getStages()[0], model.getStages()[-1]
-    grid = [
-        {
-            tree.maxDepth: draw.randint(1, 4),
-            tree.minInstancesPerNode: draw.randint(10, 60),
-            line.regParam: round(10 ** draw.uniform(-3, 0), 5),
-        }
-        for _ in range(settings.tune_candidates)
-    ]
-    return model, grid
+    (low, high), (least, most) = settings.committee_range, settings.neighbor_range
+    pairs = _distinct(
+        lambda: (draw.randint(low, high), draw.randint(least, most)), settings.tune_candidates,
+        (high - low + 1) * (most - least + 1))
+    return [{"committees": c, "neighbors": n} for c, n in pairs]
+
+
+def fit_rules(train: DataFrame, settings: Settings, committees: int = 1, neighbors: int = 0):
+    if committees == 1 and neighbors == 0:
+        return rules_model(settings).fit(train)
+    members = fit_members(lambda: rules_model(settings), train, committees)
+    return CommitteeModel(members, neighbors, train)
 
 
-def describe(candidate: dict) -> str:
-    """Short text of a parameter map; long values by their length."""
+def describe(candidate: Candidate) -> str:
+    """Short text of a candidate's parameters."""
 
     def brief(value) -> str:
-        text = str(value)
-        if isinstance(value, Sequence) and len(text) > 30:
-            return f"{len(value)} entries" if not isinstance(value, str) else f"{len(text)} chars"
-        return f"{value:.6g}" if isinstance(value, float) else text
+        return f"{value:.6g}" if isinstance(value, float) else str(value)
 
-    return ", ".join(sorted(f"{p.name}={brief(v)}" for p, v in candidate.items()))
+    return ", ".join(sorted(f"{name}={brief(v)}" for name, v in candidate.items()))

@@ -62,7 +62,7 @@ def fit_models(train: DataFrame, settings: Settings) -> tuple[PipelineModel, Pip
     labelled = train.withColumn("spend_label", F.col("spend_90_total").cast("double")).withColumn(
         "flag_label", F.col("spend_90_flag").cast("double")
     )
-    jobs = {"spend": (spend_model(settings), {}), "prob": (probability_model(settings), {})}
+    jobs = {"spend": spend_model(settings).fit, "prob": probability_model(settings).fit}
     fitted = fit_all(jobs, labelled)
     return fitted["spend"], fitted["prob"]
 

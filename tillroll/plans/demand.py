@@ -7,16 +7,15 @@ and metrics plain aggregations.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.config import Settings
-from tillroll.operators import regressors
+from tillroll.operators import committees, regressors, splines
 from tillroll.operators.metrics import forecast_metrics, shown
 from tillroll.operators.outliers import repair_series
 from tillroll.operators.series import (
@@ -28,7 +27,7 @@ from tillroll.operators.series import (
     with_calendar,
 )
 from tillroll.operators.split import cv_plan, fold_of
-from tillroll.plans.fitting import AT_ONCE, fit_all
+from tillroll.plans.fitting import Fit, fit_all, side_by_side
 from tillroll.session import stage
 
 # Model ids are fixed values, tuned models first, then the base models; the names are ours.
@@ -124,63 +123,145 @@ def prepare(frame: DataFrame, settings: Settings) -> Panel:
     return Panel(stage(spec.transform(rows), "prepared"), spec)
 
 
-def base_pipelines(train: DataFrame, settings: Settings) -> dict:
+def base_fits(settings: Settings) -> dict[int, Fit]:
     """The six untuned models, by id."""
     return {
-        5: regressors.trend_model(train, settings),
-        6: regressors.boost(settings),
-        7: regressors.trend_boost_model(train, settings),
-        8: regressors.forest(settings),
-        9: regressors.rules_model(settings),
-        10: regressors.spline_model(train, settings),
+        5: lambda train: regressors.trend_model(train, settings).fit(train),
+        6: lambda train: regressors.boost(settings).fit(train),
+        7: lambda train: regressors.trend_boost_model(train, settings).fit(train),
+        8: lambda train: regressors.forest(settings).fit(train),
+        9: lambda train: regressors.fit_rules(train, settings),
+        10: lambda train: regressors.fit_splines(train, settings),
     }
 
 
 def fit_base(panel: Panel, settings: Settings) -> dict[int, Transformer]:
     """Fitted on the training part as it is, without repair."""
-    made = base_pipelines(panel.train, settings)
-    return fit_all({k: (e, {}) for k, e in made.items()}, panel.train)
+    return fit_all(base_fits(settings), panel.train)
 
 
 @dataclass(frozen=True)
 class Tuned:
     models: dict[int, Transformer]
-    chosen: dict  # id -> (estimator, best parameter map)
+    chosen: dict[int, Fit]  # id -> a fit with the best parameters
     results: DataFrame  # model_id, model_desc, rank, rmse, parameters
 
 
-def tune(panel: Panel, settings: Settings) -> Tuned:
-    """Cross-validate candidates of four models on the repaired training part, keep the best."""
-    train = panel.train_cleaned
-    grids = {
+def candidates(settings: Settings) -> dict[int, list[regressors.Candidate]]:
+    return {
         1: regressors.forest_candidates(settings),
         2: regressors.boost_candidates(settings),
-        3: regressors.spline_candidates(train, settings),
+        3: regressors.spline_candidates(settings),
         4: regressors.rules_candidates(settings),
     }
-    rmse = RegressionEvaluator(metricName="rmse")
-    models, chosen, rows = {}, {}, []
-    for k, (estimator, grid) in grids.items():
-        search = CrossValidator(
-            estimator=estimator,
-            estimatorParamMaps=grid,
-            evaluator=rmse,
-            numFolds=settings.tune_folds,
-            foldCol="fold",
-            parallelism=AT_ONCE,
-            seed=settings.seed,
-        )
-        found = search.fit(train)
-        order = sorted(range(len(grid)), key=lambda i: found.avgMetrics[i])
-        models[k], chosen[k] = found.bestModel, (estimator, grid[order[0]])
+
+
+def fit_of(model: int, candidate: regressors.Candidate, settings: Settings) -> Fit:
+    if model == 1:
+        return regressors.with_params(regressors.forest(settings), candidate).fit
+    if model == 2:
+        return regressors.with_params(regressors.boost(settings), candidate).fit
+    make = regressors.fit_splines if model == 3 else regressors.fit_rules
+    return lambda train: make(train, settings, **candidate)
+
+
+def forest_errors(train: DataFrame, held: DataFrame, group: list, settings: Settings) -> list[float]:
+    """Held-out errors of candidates that differ in trees.
+
+    The larger forest is the smaller one and more trees of another seed, so all
+    of them together cost the trees of the largest.
+    """
+    sizes = sorted({candidate["numTrees"] for candidate in group})
+    rows, total, done = held.select("label", "features"), F.lit(0.0), 0
+    means = {}
+    for k, size in enumerate(sizes):
+        more = {**group[0], "numTrees": size - done, "seed": settings.seed + k}
+        rows = fit_of(1, more, settings)(train).transform(rows).withColumnRenamed("prediction", f"_more{k}")
+        total = total + F.col(f"_more{k}") * (size - done)
+        means[size], done = total / size, size
+    errors = [F.col("label") - means[candidate["numTrees"]] for candidate in group]
+    return list(rows.agg(*[F.sqrt(F.avg(e * e)) for e in errors]).first())
+
+
+def boost_errors(train: DataFrame, held: DataFrame, group: list, settings: Settings) -> list[float]:
+    """Held-out errors of candidates that differ in rounds: those of the longest fit after so many rounds."""
+    longest = max(group, key=lambda candidate: candidate["maxIter"])
+    after = fit_of(2, longest, settings)(train).evaluateEachIteration(held, "squared")
+    return [math.sqrt(after[candidate["maxIter"] - 1]) for candidate in group]
+
+
+def rules_errors(train: DataFrame, held: DataFrame, grid: list, settings: Settings) -> list[float]:
+    """Held-out errors of all committees and neighbours, from the longest committee."""
+    make = lambda: regressors.rules_model(settings)
+    members = committees.fit_members(make, train, max(c["committees"] for c in grid))
+    pairs = [(c["committees"], c["neighbors"]) for c in grid]
+    known, asked = (committees.with_means(rows, members) for rows in (train, held))
+    found = committees.corrected(asked, known, pairs, committees.spans(train)).toDF("_series", "_day", "predicted")
+    same = F.col(SERIES).eqNullSafe(F.col("_series")) & (F.col(DAY) == F.col("_day"))
+    joined = held.select(SERIES, DAY, "label").join(found, same)
+    error = [F.col("label") - F.col("predicted")[k] for k in range(len(pairs))]
+    return list(joined.agg(*[F.sqrt(F.avg(e * e)) for e in error]).first())
+
+
+def cross_validate(train: DataFrame, grids: dict[int, list], settings: Settings) -> dict[int, list[float]]:
+    """Mean error over the folds of every candidate of every model.
+
+    All fits of all models and folds are one list of jobs. Candidates that are
+    the start of a longer fit are scored by it, and splines need one pass for
+    all folds and candidates. Folds without rows are left out.
+    """
+    spark = train.sparkSession
+    train = train.persist()
+    folds = sorted(r["fold"] for r in train.select("fold").distinct().collect())
+    parts = {f: (train.filter(F.col("fold") != f).persist(), train.filter(F.col("fold") == f).persist()) for f in folds}
+    jobs: dict = {}
+
+    def splines_job() -> list[list[float]]:
+        degree = max(c["prod_degree"] for c in grids[3])
+        words = regressors.spline_dictionary(train, settings, degree)
+        pairs = [(c["prod_degree"], c["num_terms"]) for c in grids[3]]
+        return splines.fold_errors(splines.sums(train, words, fold="fold"), words, pairs)
+
+    try:
+        # The longest first, so that they don't end alone.
+        for f, (rest, held) in parts.items():
+            jobs[4, f, tuple(range(len(grids[4])))] = lambda r=rest, h=held: rules_errors(r, h, grids[4], settings)
+        for model, size, score in ((2, "maxIter", boost_errors), (1, "numTrees", forest_errors)):
+            for group in regressors.same_but(grids[model], size):
+                asked = [grids[model][k] for k in group]
+                for f, (rest, held) in parts.items():
+                    jobs[model, f, tuple(group)] = (
+                        lambda r=rest, h=held, a=asked, score=score: score(r, h, a, settings))
+        jobs["splines"] = splines_job
+        done = side_by_side(spark, jobs)
+    finally:
+        for frame in (train, *[p for pair in parts.values() for p in pair]):
+            frame.unpersist()
+    errors: dict[int, list[list[float]]] = {m: [[] for _ in grid] for m, grid in grids.items()}
+    errors[3] = done.pop("splines")
+    for (model, _, places), found in done.items():
+        for place, error in zip(places, found, strict=True):
+            errors[model][place].append(error)
+    return {m: [sum(e) / len(e) for e in found] for m, found in errors.items()}
+
+
+def tune(panel: Panel, settings: Settings) -> Tuned:
+    """Cross-validate candidates of four models on the repaired training part, keep the best."""
+    train = panel.train_cleaned
+    grids = candidates(settings)
+    errors = cross_validate(train, grids, settings)
+    chosen, rows = {}, []
+    for k, grid in grids.items():
+        order = sorted(range(len(grid)), key=lambda i: errors[k][i])
+        chosen[k] = fit_of(k, grid[order[0]], settings)
         rows += [
-            (k, NAMES[k], place + 1, float(found.avgMetrics[i]), regressors.describe(grid[i]))
+            (k, NAMES[k], place + 1, float(errors[k][i]), regressors.describe(grid[i]))
             for place, i in enumerate(order)
         ]
     results = train.sparkSession.createDataFrame(
         rows, "model_id int, model_desc string, rank int, rmse double, parameters string"
     )
-    return Tuned(models, chosen, results)
+    return Tuned(fit_all(chosen, train), chosen, results)
 
 
 def predict(models: dict[int, Transformer], rows: DataFrame, names=NAMES) -> DataFrame:
@@ -265,9 +346,8 @@ def forecast_rows(
 
 def refit(panel: Panel, tuned: Tuned, settings: Settings) -> dict[int, Transformer]:
     """The ensemble's members on the whole repaired history, tuned ones with their best parameters."""
-    made = base_pipelines(panel.history_cleaned, settings)
-    jobs = {k: tuned.chosen.get(k, (made.get(k), {})) for k in ENSEMBLE_OF}
-    return fit_all(jobs, panel.history_cleaned)
+    fits = {**base_fits(settings), **tuned.chosen}
+    return fit_all({k: fits[k] for k in ENSEMBLE_OF}, panel.history_cleaned)
 
 
 def future_forecast(
@@ -284,7 +364,7 @@ def future_forecast(
 def resample_predictions(panel: Panel, tuned: Tuned, settings: Settings) -> DataFrame:
     """Every model fitted on every rolling-origin slice: slice_id, model, actual, predicted.
 
-    Each fit is a distributed job over its slice; the loop only names the slices.
+    The fits of all slices are one list of jobs, each a distributed job over its slice.
     """
     history = panel.train_cleaned
     # One aggregate names the slices that have both parts; a slice is a filter on days.
@@ -293,19 +373,26 @@ def resample_predictions(panel: Panel, tuned: Tuned, settings: Settings) -> Data
         F.min(F.when(F.col("part") == "test", F.col(DAY))).alias("test_start"),
         F.max(F.when(F.col("part") == "test", F.col(DAY))).alias("test_end"),
     )
-    total = None
-    for row in parts.dropna().orderBy("slice_id").collect():  # cv_slices rows at most
-        k = row["slice_id"]
-        train = history.filter(F.col(DAY) <= F.lit(row["train_end"]))
-        test = history.filter(F.col(DAY).between(row["test_start"], row["test_end"]))
-        jobs = {i: (e, {}) for i, e in base_pipelines(train, settings).items()}
-        rows = predict(fit_all({**tuned.chosen, **jobs}, train), test).withColumn("slice_id", F.lit(k))
-        total = rows if total is None else total.unionByName(rows)
-    if total is None:
-        return history.sparkSession.createDataFrame(
-            [], "model_id int, model_desc string, series string, invoice_date date, "
-                "predicted double, label double, slice_id int")
-    return stage(total, "resamples")
+    slices = parts.dropna().orderBy("slice_id").collect()  # cv_slices rows at most
+    fits = {**base_fits(settings), **tuned.chosen}
+    trains = {r["slice_id"]: history.filter(F.col(DAY) <= F.lit(r["train_end"])).persist() for r in slices}
+    try:
+        jobs = {(s, k): lambda t=t, fit=fit: fit(t) for k, fit in fits.items() for s, t in trains.items()}
+        models = side_by_side(history.sparkSession, jobs)
+        total = None
+        for row in slices:
+            test = history.filter(F.col(DAY).between(row["test_start"], row["test_end"]))
+            own = {k: m for (s, k), m in models.items() if s == row["slice_id"]}
+            rows = predict(own, test).withColumn("slice_id", F.lit(row["slice_id"]))
+            total = rows if total is None else total.unionByName(rows)
+        if total is None:
+            return history.sparkSession.createDataFrame(
+                [], "model_id int, model_desc string, series string, invoice_date date, "
+                    "predicted double, label double, slice_id int")
+        return stage(total, "resamples")
+    finally:
+        for frame in trains.values():
+            frame.unpersist()
 
 
 def resample_accuracy(predictions: DataFrame) -> DataFrame:
