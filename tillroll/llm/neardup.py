@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -180,16 +180,19 @@ def _hot_keys(classes: DataFrame) -> np.ndarray:
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """key, class of the keys that at least two classes have.
+    """key, class, others of the keys that at least two classes have; others: how many share the key.
 
-    One exchange, by key, serves both the search for shared keys and the join
-    with them. Rows of hot keys stay where they are, so no task gets them all.
+    One exchange, by key. Rows of hot keys stay where they are, so no task gets
+    them all.
     """
     hot = _hot_keys(classes)
-    dealt = _keyed(classes, hot).repartition("key")
-    shared = dealt.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi")
-    members = dealt.join(shared.select("key").hint("shuffle_merge"), "key", "left_semi")
-    return members.union(_keyed(classes, hot, chosen=True)) if len(hot) else members
+    others = F.count(F.lit(1)).over(Window.partitionBy("key")) - 1
+    met = _keyed(classes, hot).withColumn("others", others).filter("others > 0")
+    if not len(hot):
+        return met
+    held = _keyed(classes, hot, chosen=True)
+    counts = held.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("others"))
+    return met.union(held.join(F.broadcast(counts), "key"))  # a row per hot key
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,9 +253,8 @@ def _reach(percent: int, seen: float = 1.0) -> int:
 def _with_scores(members: DataFrame) -> DataFrame:
     """members with score: how many others a class meets, over all its keys. It is high in the
     middle of a group of near copies."""
-    met = members.groupBy("key").agg((F.count(F.lit(1)) - 1).alias("others"))
-    scores = members.join(met, "key").groupBy("class").agg(F.sum("others").alias("score"))
-    return members.join(scores, "class")
+    scores = members.groupBy("class").agg(F.sum("others").alias("score"))
+    return members.select("key", "class").join(scores, "class")
 
 
 def _apart(members: DataFrame, labels: DataFrame | None) -> DataFrame:
