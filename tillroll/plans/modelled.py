@@ -13,7 +13,6 @@ from tillroll.operators import cohorts, metrics
 from tillroll.operators.regressors import SERIES
 from tillroll.plans import customer_value, demand, views
 from tillroll.plans import artifacts
-from tillroll.plans.artifacts import save
 from tillroll.plans.catalog import (
     S,
     clv_testing_table,
@@ -214,26 +213,43 @@ def resample_accuracy(spark, path):
 # --- saving ----------------------------------------------------------------
 
 
-def save_customer_value(spark: SparkSession, path: str, folder: str) -> None:
-    """Both models with the tables they were fitted on and the predictions."""
-    spend, probability, scored = clv_models(spark, path)
+def _customer_value_set(spark: SparkSession, path: str) -> tuple[dict, dict]:
+    spend, probability, _ = clv_models(spark, path)
     questions = (clv_training_table, clv_testing_table, clv_predictions, clv_metrics, clv_importance)
-    tables = {q.__name__: q(spark, path) for q in questions}
-    save(folder, {"spend": spend, "probability": probability}, tables)
+    return {"spend": spend, "probability": probability}, {q.__name__: q(spark, path) for q in questions}
 
 
-def save_demand(spark: SparkSession, path: str, folder: str) -> None:
-    """The refitted models, all accuracy tables, both forecasts and the prepared rows."""
+def _demand_set(spark: SparkSession, path: str) -> tuple[dict, dict]:
     p = panel(spark, path)
     questions = (
         forecast_fit_accuracy, forecast_tuned_accuracy, forecast_ensemble_accuracy,
         forecast_accuracy, forecast_test, forecast_future, resample_accuracy, tuning_results,
     )
-    tables = {q.__name__: q(spark, path) for q in questions}
-    tables |= {"rows": p.rows}
+    tables = {q.__name__: q(spark, path) for q in questions} | {"rows": p.rows}
     models = {f"refitted_{k}": m for k, m in refitted_models(spark, path).items()}
-    save(folder, {"spec": p.spec, **models}, tables)
+    return {"spec": p.spec, **models}, tables
+
+
+def save_customer_value(spark: SparkSession, path: str, folder: str) -> None:
+    """Both models with the tables they were fitted on and the predictions."""
+    artifacts.save(folder, *_customer_value_set(spark, path), artifacts.fingerprint(spark, path, S))
+
+
+def save_demand(spark: SparkSession, path: str, folder: str) -> None:
+    """The refitted models, all accuracy tables, both forecasts and the prepared rows."""
+    artifacts.save(folder, *_demand_set(spark, path), artifacts.fingerprint(spark, path, S))
+
+
+def saved_customer_value(spark: SparkSession, path: str, folder: str) -> tuple[dict, dict]:
+    """Models and tables of save_customer_value: read if an earlier session saved them for these tables."""
+    made_from = artifacts.fingerprint(spark, path, S)
+    return artifacts.saved(spark, folder, made_from, lambda: _customer_value_set(spark, path))
+
 
+def saved_demand(spark: SparkSession, path: str, folder: str) -> tuple[dict, dict]:
+    """Models and tables of save_demand: read if an earlier session saved them for these tables."""
+    made_from = artifacts.fingerprint(spark, path, S)
+    return artifacts.saved(spark, folder, made_from, lambda: _demand_set(spark, path))
 
 
 MODELLED = {
