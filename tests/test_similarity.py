@@ -58,17 +58,65 @@ def skewed(seed, people=60):
 
 
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize(("hot", "block"), [(1000, 1000), (1000, 3), (2, 1000), (8, 2)])
-def test_all_ways_give_the_brute_force_result(spark, retail, seed, hot, block):
+@pytest.mark.parametrize("block", [1000, 3])
+def test_brute_force(spark, retail, seed, block):
     baskets = skewed(seed)
-    settings = replace(retail, n_closest=3, hot_item_baskets=hot, pair_block=block)
+    settings = replace(retail, n_closest=3, pair_block=block)
     assert found(similarity.nearest_customers(frame(spark, baskets), settings)) == brute(baskets, 3)
 
 
-def test_more_crowded_items_than_bits(spark, retail):
+def households(groups, own=12, crowded=30, seed=8):
+    """Groups of nine share most of their own items; every crowded item is held by a third of all."""
+    draw = random.Random(seed)
+    baskets = {}
+    for c in range(9 * groups):
+        base = 1000 * (c // 9 + 1)
+        baskets[c] = {base + k for k in range(own) if draw.random() < 0.9}
+        baskets[c] |= {k for k in range(crowded) if draw.random() < 1 / 3}
+    return baskets
+
+
+def test_crowded_items_add_few_pairs(spark, retail):
+    baskets = households(groups=20)
+    settings = replace(retail, n_closest=3, pair_block=20)
+    pairs = frame(spark, baskets)
+    assert found(similarity.nearest_customers(pairs, settings)) == brute(baskets, 3)
+
+    ranked = similarity.ranked_items(similarity.group_baskets(pairs, 3).items).cache()
+    bar = similarity.bars(ranked, 3)
+    inside = len(baskets) * 8  # a pair of one group, from either side
+    meeting = sum(bool(baskets[a] & baskets[b]) for a in baskets for b in baskets if a != b)
+    got = similarity.candidate_pairs(ranked, bar, 20).count()
+    assert meeting > 15 * inside, "crowded items make nearly everybody meet"
+    assert got <= 2 * inside, "few pairs outside the groups can reach the bars"
+    ranked.unpersist()
+
+
+def test_bars_are_reached_by_the_neighbours(spark):
+    baskets = skewed(6)
+    n = 3
+    grouped = similarity.group_baskets(frame(spark, baskets), n)
+    bar = {r["class_id"]: r["bar"] for r in similarity.bars(similarity.ranked_items(grouped.items), n).collect()}
+    names = {frozenset(items): min(c for c in baskets if baskets[c] == items) for items in baskets.values()}
+    for items, name in names.items():
+        near = sorted((-len(items & o) ** 2 / (len(items) * len(o)) for o in names if o != items and items & o))
+        if name in bar:
+            assert -near[n] >= bar[name] * (1 - 1e-9)
+
+
+@pytest.mark.parametrize("block", [1000, 2])
+def test_nobody_shares_or_nothing_at_all(spark, retail, block):
+    settings = replace(retail, n_closest=3, pair_block=block)
+    apart = {c: {c, c + 100} for c in range(6)}
+    assert found(similarity.nearest_customers(frame(spark, apart), settings)) == set()
+    empty = spark.createDataFrame([], "customer_id long, stock_code long")
+    assert found(similarity.nearest_customers(empty, settings)) == set()
+
+
+def test_crowded_items_only(spark, retail):
     draw = random.Random(5)
     baskets = {c: {draw.randrange(30) for _ in range(8)} for c in range(50)}
-    settings = replace(retail, n_closest=4, hot_item_baskets=1, pair_block=4)
+    settings = replace(retail, n_closest=4, pair_block=4)
     assert found(similarity.nearest_customers(frame(spark, baskets), settings)) == brute(baskets, 4)
 
 
@@ -110,11 +158,10 @@ def lines(spark, baskets, seed=1):
     return rows, spark.createDataFrame(rows, schema)
 
 
-@pytest.mark.parametrize("hot", [1000, 3])
-def test_offers(spark, retail, hot):
+def test_offers(spark, retail):
     baskets = skewed(3, people=40)
     rows, sales = lines(spark, baskets)
-    settings = replace(retail, n_closest=3, n_return=4, hot_item_baskets=hot, pair_block=3)
+    settings = replace(retail, n_closest=3, n_return=4, pair_block=3)
     near = {}
     for a, b, _, _ in brute(baskets, 3):
         near.setdefault(a, set()).add(b)

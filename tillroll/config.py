@@ -28,8 +28,6 @@ class Settings:
     seed: int = 123
     n_closest: int = 5
     n_return: int = 10
-    # Items in more baskets than this leave the pair join and are matched by bit mask.
-    hot_item_baskets: int = 1000
     # Holders of one item per task of the pair join.
     pair_block: int = 1000
     roll_periods: tuple[int, ...] = (7, 14, 21, 28)

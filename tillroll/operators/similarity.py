@@ -3,21 +3,26 @@
 With 0/1 baskets the cosine of two customers is shared / sqrt(size_a * size_b).
 A customer by customer matrix cannot be built at scale, and a plain self join on
 the item makes buyers x buyers pairs for a best-seller. `nearest_customers`
-gives the exact nearest n for everybody with three devices:
+gives the exact nearest n for everybody in these steps, the same for all items:
 
 1. Customers with the same basket form one class. Only the n+1 smallest ids of
    a class can be anyone's neighbour, since they tie with the rest of it.
-2. Items in more than `hot_item_baskets` classes (the 12 most common of them at
-   most) leave the pair join. Each class keeps the ones it has as a bit mask, so
-   for classes that meet over another item the common hot items are a bit count.
-3. Classes that share hot items only are found over the distinct masks, 4095 at
-   most however large the data: among classes of one mask those with the
-   smallest baskets win, so n+2 stand for all.
-
-The pair join of the other items is cut into blocks of `pair_block` holders, so
-that an item with many holders is many tasks instead of one. Its work still
-grows with the square of the 13th most common item's holders: that is the price
-of an exact answer.
+2. Items are ordered by steps, rare ones first. A class knows at each step how
+   many of its items are left from there on.
+3. Every class meets the n+2 smallest baskets of each of its items. The n+1 it
+   meets best are compared in full, and the worst of these is a bar that every
+   neighbour must reach.
+4. Classes whose first common item has step s share at most the smaller of the
+   two counts left at s. A class therefore stops asking about an item when the
+   items left cannot reach its bar, and skips holders whose baskets are too
+   large for it. Best-sellers come last, so few classes still ask about them.
+5. Pairs that still can reach the bar after the items they met over are counted
+   over the rest of the smaller basket.
+
+The holders of an item are cut into blocks of `pair_block`, so that an item with
+many holders is many tasks. Where bars stay low, because all baskets are made of
+best-sellers and few are alike, the pairs over those are still compared: that is
+the price of an exact answer.
 
 Ties go to the smaller customer id. The order uses shared^2 / (size_a * size_b),
 one division of whole numbers, so equal cosines compare equal.
@@ -33,7 +38,11 @@ from pyspark.sql import functions as F
 from tillroll.config import Settings
 from tillroll.session import stage
 
-HOT_BITS = 12
+#: Steps of the item order: so many for each doubling of the holders, each cut by a hash.
+STEPS_PER_DOUBLING = 4
+STEP_PARTS = 8
+#: Bars are compared with a margin far below the gap between two cosines.
+MARGIN = 1 - 1e-12
 CLASS_KEY = ["print_a", "print_b", "size"]
 
 
@@ -128,22 +137,6 @@ def group_baskets(pairs: DataFrame, n: int) -> Baskets:
     )
 
 
-def _holders(items: DataFrame) -> DataFrame:
-    return items.groupBy("stock_code").agg(F.count(F.lit(1)).alias("holders"))
-
-
-def _hot_items(items: DataFrame, more_than: int) -> DataFrame:
-    """The most common items, 12 at most, each with its bit."""
-    common = (
-        _holders(items)
-        .filter(F.col("holders") > more_than)
-        .orderBy(F.desc("holders"), "stock_code")
-        .limit(HOT_BITS)
-    )
-    bit = F.row_number().over(Window.orderBy(F.desc("holders"), "stock_code")) - 1
-    return common.withColumn("bit", bit).select("stock_code", "bit")
-
-
 def _best(candidates: DataFrame, key: str, keep: int) -> DataFrame:
     """The `keep` closest per key. The limit also applies before the shuffle."""
     order = Window.partitionBy(key).orderBy(F.desc("closeness"), "other_id")
@@ -151,99 +144,119 @@ def _best(candidates: DataFrame, key: str, keep: int) -> DataFrame:
     return ranked.filter(F.col("_at") <= keep).drop("_at")
 
 
-def _pairs_over_items(items: DataFrame, block: int) -> DataFrame:
-    """Class pairs meeting over an item, both ways round.
+def ranked_items(items: DataFrame) -> DataFrame:
+    """items with step, left and after: how many items its class has from this step on, and behind it.
 
-    items: class_id, size, mask, stock_code, without the hot items. The holders
-    of an item fall into blocks, and block i meets block j in the task of
-    (item, i, j), i <= j. Each pair is joined and counted once and mirrored
-    afterwards.
+    Steps grow with the holders of an item. A class has few of them however many
+    items it holds, so the running sums never see a whole basket.
     """
-    crowded = _holders(items).filter(F.col("holders") > block)
-    crowded = crowded.select("stock_code", F.ceil(F.col("holders") / block).alias("blocks"))
-    placed = items.join(crowded, "stock_code", "left").withColumn(
-        "blocks", F.coalesce("blocks", F.lit(1))
+    holders = items.groupBy("stock_code").agg(F.count(F.lit(1)).alias("holders"))
+    level = F.floor(F.log2("holders") * STEPS_PER_DOUBLING) * STEP_PARTS
+    holders = holders.withColumn(
+        "step", (level + F.pmod(F.xxhash64("stock_code"), F.lit(STEP_PARTS))).cast("int")
     )
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("class_id"), "blocks"))
-    a = placed.select(
-        "stock_code",
-        F.col("block").alias("i"),
-        F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"),
-        *[F.col(c).alias(f"{c}_a") for c in ("class_id", "size", "mask")],
-    )
-    b = placed.select(
-        "stock_code",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("i"),
-        F.col("block").alias("j"),
-        *[F.col(c).alias(f"{c}_b") for c in ("class_id", "size", "mask")],
+    placed = items.join(holders, "stock_code")
+    behind = Window.partitionBy("class_id").orderBy(F.desc("step"))
+    reach = placed.groupBy("class_id", "step").agg(F.count(F.lit(1)).alias("held"))
+    reach = reach.withColumn("left", F.sum("held").over(behind))
+    reach = reach.withColumn("after", F.col("left") - F.col("held")).drop("held")
+    return placed.join(reach, ["class_id", "step"])
+
+
+def bars(ranked: DataFrame, n: int) -> DataFrame:
+    """class_id, bar: a closeness that the n+1 nearest other classes all reach.
+
+    A class without a row has fewer than n+1 others among the baskets it met here.
+    """
+    by_size = Window.partitionBy("stock_code").orderBy("size", "class_id")
+    small = (
+        ranked.select("stock_code", "size", "class_id")
+        .withColumn("_at", F.row_number().over(by_size))
+        .filter(F.col("_at") <= n + 2)
+        .select("stock_code", F.col("class_id").alias("other_id"), F.col("size").alias("size_b"))
     )
-    hot = F.bit_count(F.col("mask_a").bitwiseAND(F.col("mask_b"))).cast("long")
-    counted = (
-        a.join(b, ["stock_code", "i", "j"])
-        .filter((F.col("i") < F.col("j")) | (F.col("class_id_a") < F.col("class_id_b")))
-        .select(
-            F.least("class_id_a", "class_id_b").alias("low"),
-            F.greatest("class_id_a", "class_id_b").alias("high"),
-            (F.col("size_a") * F.col("size_b")).alias("sizes"),
-            hot.alias("hot"),
-        )
-        .groupBy("low", "high", "sizes", "hot")
+    met = (
+        ranked.select("class_id", "size", "stock_code")
+        .join(small, "stock_code")
+        .filter(F.col("class_id") != F.col("other_id"))
+        .groupBy("class_id", "other_id", "size", "size_b")
         .agg(F.count(F.lit(1)).alias("met"))
+        .withColumn("closeness", closeness(F.col("met"), F.col("size"), F.col("size_b")))
     )
-    shared, one = F.col("met") + F.col("hot"), F.lit(1).cast("long")
-    both = F.explode(
-        F.array(
-            F.struct(F.col("low").alias("class_id"), F.col("high").alias("other_id")),
-            F.struct(F.col("high").alias("class_id"), F.col("low").alias("other_id")),
-        )
-    )
-    return counted.select(
-        both.alias("pair"),
-        closeness(shared, F.col("sizes"), one).alias("closeness"),
-        cosine(shared, F.col("sizes"), one).alias("similarity"),
-    ).select("pair.*", "closeness", "similarity")
-
-
-def _pairs_over_masks(masks: DataFrame, n: int) -> DataFrame:
-    """For each class its closest others by hot items alone. masks: class_id, size, mask."""
-    masks = masks.filter(F.col("mask") != 0)
-    by_size = Window.partitionBy("mask").orderBy("size", "class_id")
-    stand_ins = (
-        masks.withColumn("_at", F.row_number().over(by_size))
-        .filter(F.col("_at") <= n + 2)
-        .select(
-            F.col("mask").alias("mask_b"),
-            F.col("class_id").alias("other_id"),
-            F.col("size").alias("size_b"),
+    best = stage(_best(met, "class_id", n + 1).select("class_id", "other_id", "size", "size_b"), "met-first")
+    whole = best.withColumns({"last": F.lit(-1), "rest": F.lit(1)})
+    exact = best.join(_shared_behind(whole, ranked), ["class_id", "other_id"])
+    return (
+        exact.groupBy("class_id")
+        .agg(
+            F.min(closeness(F.col("more"), F.col("size"), F.col("size_b"))).alias("bar"),
+            F.count(F.lit(1)).alias("found"),
         )
+        .filter(F.col("found") == n + 1)
+        .drop("found")
     )
-    bits = F.explode(
-        F.filter(
-            F.sequence(F.lit(0), F.lit(HOT_BITS - 1)),
-            lambda bit: F.call_function("shiftright", F.col("mask"), bit).bitwiseAND(F.lit(1)) == 1,
-        )
+
+
+def candidate_pairs(ranked: DataFrame, bar: DataFrame, block: int) -> DataFrame:
+    """Pairs that can reach the bar of class_id, from its side.
+
+    class_id, other_id, size, size_b, met: the items shared up to step `last`, and
+    rest: the most they can share behind it. The condition on a pair holds at
+    every step before one where it holds, so met leaves out no item up to last.
+    """
+    asking = (
+        ranked.join(bar, "class_id", "left")
+        .withColumn("bar", F.coalesce("bar", F.lit(0.0)) * MARGIN)
+        # A basket shares no more than it holds, so the closeness is left / size at most.
+        .filter((F.col("left") >= F.col("bar") * F.col("size")) & (F.col("holders") > 1))
     )
-    per_bit = masks.select("mask").distinct().withColumn("bit", bits)
-    meetings = (
-        per_bit.withColumnRenamed("mask", "mask_a")
-        .join(per_bit.withColumnRenamed("mask", "mask_b"), "bit")
-        .select("mask_a", "mask_b")
-        .distinct()
+    blocks = F.ceil(F.col("holders") / block)
+    a = asking.withColumn("i", F.pmod(F.xxhash64("class_id"), blocks)).withColumn(
+        "j", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
     )
-    shared = F.bit_count(F.col("mask_a").bitwiseAND(F.col("mask_b"))).cast("long")
-    per_mask = meetings.join(stand_ins, "mask_b").withColumn("shared", shared)
-    per_mask = per_mask.withColumn(
-        "closeness", closeness(F.col("shared"), F.lit(1), F.col("size_b"))
+    b = ranked.select(
+        "stock_code",
+        F.pmod(F.xxhash64("class_id"), blocks).alias("j"),
+        F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("i"),
+        *[F.col(x).alias(y) for x, y in (
+            ("class_id", "other_id"), ("size", "size_b"), ("left", "left_b"), ("after", "after_b"))],
     )
-    per_mask = _best(per_mask, "mask_a", n + 2).drop("closeness", "mask_b")
-    found = masks.join(per_mask, masks["mask"] == per_mask["mask_a"]).filter(
-        F.col("class_id") != F.col("other_id")
+    most = F.least("left", "left_b").cast("double")
+    pairs = (
+        a.join(b, ["stock_code", "i", "j"])
+        .filter(
+            (F.col("class_id") != F.col("other_id"))
+            & (most * most >= F.col("bar") * F.col("size") * F.col("size_b"))
+        )
+        .groupBy("class_id", "other_id", "size", "size_b", "bar")
+        .agg(
+            F.count(F.lit(1)).alias("met"),
+            F.max("step").alias("last"),
+            F.min(F.least("after", "after_b")).alias("rest"),
+        )
     )
-    return found.select(
+    shared = (F.col("met") + F.col("rest")).cast("double")
+    return pairs.filter(shared * shared >= F.col("bar") * F.col("size") * F.col("size_b")).drop("bar")
+
+
+def _shared_behind(pairs: DataFrame, ranked: DataFrame) -> DataFrame:
+    """class_id, other_id, more: items shared behind step `last`, by the smaller basket."""
+    swap = F.col("size") > F.col("size_b")
+    asked = pairs.filter(F.col("rest") > 0).select(
         "class_id",
         "other_id",
-        closeness(F.col("shared"), F.col("size"), F.col("size_b")).alias("closeness"),
-        cosine(F.col("shared"), F.col("size"), F.col("size_b")).alias("similarity"),
+        "last",
+        F.when(swap, F.col("other_id")).otherwise(F.col("class_id")).alias("small_id"),
+        F.when(swap, F.col("class_id")).otherwise(F.col("other_id")).alias("large_id"),
+    )
+    small = ranked.select(F.col("class_id").alias("small_id"), "stock_code", "step")
+    large = ranked.select(F.col("class_id").alias("large_id"), "stock_code")
+    return (
+        asked.join(small, "small_id")
+        .filter(F.col("step") > F.col("last"))
+        .join(large, ["large_id", "stock_code"])
+        .groupBy("class_id", "other_id")
+        .agg(F.count(F.lit(1)).alias("more"))
     )
 
 
@@ -252,28 +265,22 @@ def class_neighbours(baskets: Baskets, settings: Settings) -> DataFrame:
 
     class_id, place (1 = nearest), neighbour_id, similarity.
     """
-    n, items = baskets.n, baskets.items
-    hot = stage(_hot_items(items, settings.hot_item_baskets), "hot-items")
-    if hot.isEmpty():
-        met = _pairs_over_items(
-            items.withColumn("mask", F.lit(0).cast("long")), settings.pair_block
-        )
-        nearest = _best(met, "class_id", n + 1)
-    else:
-        marked = items.join(F.broadcast(hot), "stock_code", "left")  # 12 rows at most
-        one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
-        masks = marked.groupBy("class_id", "size").agg(
-            F.coalesce(F.bit_or(one), F.lit(0)).alias("mask")
-        )
-        masks = stage(masks, "masks")
-        rest = marked.filter(F.col("bit").isNull()).drop("bit")
-        rest = rest.join(masks.drop("size"), "class_id")
-        met = _best(_pairs_over_items(rest, settings.pair_block), "class_id", n + 1)
-        hot_only = _pairs_over_masks(masks, n)
-        either = met.unionByName(hot_only).groupBy("class_id", "other_id").agg(
-            F.max("closeness").alias("closeness"), F.max("similarity").alias("similarity")
-        )
-        nearest = _best(either, "class_id", n + 1)
+    n = baskets.n
+    ranked = stage(ranked_items(baskets.items), "ranked-items")
+    pairs = candidate_pairs(ranked, bars(ranked, n), settings.pair_block)
+    pairs = stage(pairs, "pairs-in-reach")
+    counted = pairs.join(_shared_behind(pairs, ranked), ["class_id", "other_id"], "left")
+    shared = F.col("met") + F.coalesce("more", F.lit(0).cast("long"))
+    nearest = _best(
+        counted.select(
+            "class_id",
+            "other_id",
+            closeness(shared, F.col("size"), F.col("size_b")).alias("closeness"),
+            cosine(shared, F.col("size"), F.col("size_b")).alias("similarity"),
+        ),
+        "class_id",
+        n + 1,
+    )
 
     others = nearest.join(
         baskets.classes.select(F.col("class_id").alias("other_id"), "ids"), "other_id"
