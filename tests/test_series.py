@@ -1,4 +1,5 @@
 import math
+import random
 from dataclasses import replace
 from datetime import date, timedelta
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tillroll.config import RepairWindow
 from tillroll.operators import outliers, series, split
-from tillroll.operators.ordering import number_rows, running_totals
+from tillroll.operators.ordering import grouped_percentile, number_rows, running_totals
 
 SCHEMA = "series string, invoice_date date, total_quantity long"
 START = date(2010, 1, 1)
@@ -151,3 +152,23 @@ def test_fold_is_stable(spark, retail):
     rows = ragged(spark).withColumn("fold", split.fold_of(retail, "series", "invoice_date"))
     folds = [r["fold"] for r in rows.collect()]
     assert all(0 <= f < retail.tune_folds for f in folds)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.95, 1.0])
+def test_grouped_percentile_is_the_built_in_one(spark, share):
+    draw = random.Random(4)
+    sizes = {1: 1, 2: 2, 3: 40, 4: 301, None: 25}
+    rows = [
+        (k, draw.choice([round(draw.uniform(-5, 5), 1), draw.uniform(0, 1e6)]))
+        for k, n in sizes.items() for _ in range(n)
+    ]
+    rows += [(3, None), (9, None)] + [(5, 2.5)] * 200  # nulls, a key without a value, ties only
+    df = spark.createDataFrame(rows, "k int, v double").repartition(5)
+    expected = df.groupBy("k").agg(F.percentile("v", share).alias("p")).filter("p IS NOT NULL")
+    got = grouped_percentile(df, "k", "v", share, "p")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in expected.collect()}
+
+
+def test_grouped_percentile_of_nothing(spark):
+    empty = spark.createDataFrame([], "k int, v double")
+    assert grouped_percentile(empty, "k", "v", 0.5, "p").collect() == []

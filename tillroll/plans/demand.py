@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tillroll.config import Settings
 from tillroll.operators import committees, regressors, splines
 from tillroll.operators.metrics import forecast_metrics, shown
+from tillroll.operators.ordering import grouped_percentile
 from tillroll.operators.outliers import repair_series
 from tillroll.operators.series import (
     DAY,
@@ -310,9 +311,7 @@ def accuracy(predictions: DataFrame, per_series: bool = False) -> DataFrame:
 def interval_widths(test_predictions: DataFrame) -> DataFrame:
     """Per model the 95 % reach of its errors on the test part, exact."""
     error = F.abs(F.col("label") - F.col("predicted"))
-    return test_predictions.groupBy("model_id").agg(
-        F.percentile(error, 0.95).alias("reach")
-    )
+    return grouped_percentile(test_predictions.withColumn("error", error), "model_id", "error", 0.95, "reach")
 
 
 def forecast_rows(
