@@ -521,6 +521,15 @@ SELECT series, invoice_date, round(y, 6) AS total_quantity, bad AS is_outlier,
        round(c, 6) AS total_quantity_cleaned, in_window FROM cleaned""",
     "repaired_series": f"""{CLEANED}
 SELECT series, invoice_date, round(CASE WHEN in_window THEN c ELSE y END, 6) AS total_quantity
+FROM cleaned""",
+    "peak_repaired_series": f"""{CLEANED},
+ranked AS (
+  SELECT series, invoice_date AS peak, row_number() OVER (
+    PARTITION BY series, date_trunc('quarter', invoice_date) ORDER BY y DESC, invoice_date) AS place
+  FROM cleaned WHERE y IS NOT NULL)
+SELECT series, invoice_date, round(CASE WHEN EXISTS (
+    SELECT 1 FROM ranked WHERE place = 1 AND ranked.series = cleaned.series
+    AND cleaned.invoice_date BETWEEN peak - 3 AND peak + 3) THEN c ELSE y END, 6) AS total_quantity
 FROM cleaned""",
     "naive_accuracy": f"""{NAIVE},
 pairs AS (

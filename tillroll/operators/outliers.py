@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.config import RepairWindow, Settings
+from tillroll.operators.intervals import mark_days
 from tillroll.operators.series import DAY, SERIES, VALUE, in_order, rolling
 
 
@@ -61,12 +62,15 @@ def clean_series(frame: DataFrame, value: str = VALUE, spread: float = 3.0) -> D
     )
 
 
-def mark_windows(frame: DataFrame, windows: tuple[RepairWindow, ...]) -> DataFrame:
+def mark_windows(frame: DataFrame, windows: tuple[RepairWindow, ...] | DataFrame) -> DataFrame:
     """Add in_window: the day lies in one of its series' windows, both ends included.
 
-    The windows come from the settings, one row per series, so the broadcast
-    side is as small as that list; overlapping windows repeat no row.
+    Windows of the settings are broadcast, one row per series, so that side is
+    as small as that list. Windows in a table (series, first_day, last_day) may be
+    many and are joined by bucket of days. Overlapping windows repeat no row.
     """
+    if isinstance(windows, DataFrame):
+        return mark_days(frame, windows, [SERIES], DAY)
     if not windows:
         return frame.withColumn("in_window", F.lit(False))
     by_series: dict[str, list] = {}
@@ -81,8 +85,22 @@ def mark_windows(frame: DataFrame, windows: tuple[RepairWindow, ...]) -> DataFra
     return marked.withColumn("in_window", F.coalesce(inside, F.lit(False))).drop("_windows")
 
 
-def repair_series(frame: DataFrame, settings: Settings, value: str = VALUE) -> DataFrame:
-    """Cleaned values inside the repair windows, original values elsewhere."""
-    marked = mark_windows(clean_series(frame, value), settings.repair_windows)
+def peak_windows(frame: DataFrame, reach: int = 3, value: str = VALUE) -> DataFrame:
+    """The days around each series' highest day of every quarter (ties: the earliest day)."""
+    quarter = F.trunc(DAY, "quarter").alias("_quarter")
+    rank = F.struct(F.col(value).alias("value"), (-F.unix_date(DAY)).alias("order"))
+    top = frame.where(F.col(value).isNotNull()).groupBy(SERIES, quarter).agg(F.max(rank).alias("_top"))
+    peak = F.date_from_unix_date(-F.col("_top")["order"])
+    return top.select(
+        SERIES, F.date_sub(peak, reach).alias("first_day"), F.date_add(peak, reach).alias("last_day")
+    )
+
+
+def repair_series(
+    frame: DataFrame, settings: Settings, value: str = VALUE, windows: DataFrame | None = None
+) -> DataFrame:
+    """Cleaned values inside the windows (those of the settings, if none are given), else as they are."""
+    given = settings.repair_windows if windows is None else windows
+    marked = mark_windows(clean_series(frame, value), given)
     repaired = F.when(F.col("in_window"), F.col(f"{value}_cleaned")).otherwise(F.col(value))
     return marked.withColumn(value, repaired).select(*frame.columns)

@@ -371,6 +371,13 @@ def repaired_series(spark, path):
     return repaired.withColumn("total_quantity", F.round("total_quantity", 6))
 
 
+def peak_repaired_series(spark, path):
+    """Series repaired in the week around each quarter's highest day."""
+    rows = daily_log(spark, path)
+    repaired = outliers.repair_series(rows, S, windows=outliers.peak_windows(rows))
+    return repaired.withColumn("total_quantity", F.round("total_quantity", 6))
+
+
 def naive_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Actual quantity next to the quantity one horizon ago."""
     padded = series.pad_days(daily(spark, path))
@@ -518,6 +525,7 @@ RELATIONAL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rule_country_choices,
         cleaned_series,
         repaired_series,
+        peak_repaired_series,
         naive_accuracy,
         naive_model_accuracy,
         naive_resample_accuracy,
