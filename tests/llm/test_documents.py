@@ -71,6 +71,54 @@ def test_pieces_encode_like_the_library():
     assert spelled.tolist() != plain.encode("end <|endoftext|> next", add_special_tokens=False).ids
 
 
+def test_words_of_earlier_batches_are_not_encoded_again(monkeypatch):
+    import tokenizers
+
+    handed = []
+
+    class Counting:
+        def __init__(self, inner):
+            self.__dict__["inner"] = inner
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def __setattr__(self, name, value):
+            setattr(self.inner, name, value)
+
+        def encode_batch_fast(self, texts, **more):
+            handed.append(sum(map(len, texts)))
+            return self.inner.encode_batch_fast(texts, **more)
+
+    plain = tokenizers.Tokenizer.from_file(BPE)
+    monkeypatch.setattr(tokenstore, "_held", {})
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("T", (), {"from_file": lambda path: Counting(plain)}))
+    rnd = random.Random(3)
+    once = [" ".join("".join(rnd.choices("aeinorst.,", k=9)) for _ in range(100)) for _ in range(20)]
+    first, _ = tokenstore.encode_texts(pa.array(once), BPE)
+    before = sum(handed)
+    again, _ = tokenstore.encode_texts(pa.array(once), BPE)
+    assert again.tolist() == first.tolist()
+    assert sum(handed) - before < before / 20  # each text's first word only
+
+
+@pytest.mark.parametrize("limit", [0, 1, 7, 100])
+def test_remembered_words_stay_within_their_limit(monkeypatch, limit):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(BPE)
+    monkeypatch.setattr(tokenstore, "_held", {})
+    monkeypatch.setattr(tokenstore, "REMEMBERED", limit)
+    hard = [*HARD, "a \x0bb c", "a\x0b b", "x \x0b y", "a\u2003b \u2003c d\u2003 e", "w" * 50 + " " + "w" * 50]
+    for seed in range(4):
+        texts = [*hard, *random_texts(60, seed), "on a tin hen"]
+        ids, counts = tokenstore.encode_texts(pa.array(texts, pa.string()), BPE)
+        want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == [len(w) for w in want]
+        assert ids.tolist() == list(itertools.chain(*want))
+        assert len(tokenstore._encoder(BPE).known) <= limit
+
+
 @pytest.mark.parametrize("widths", [(8, 8), (5, 6, 5), (10, 6)])
 def test_codes_give_random_access(widths):
     r = np.random.RandomState(0)
@@ -83,6 +131,18 @@ def test_codes_give_random_access(widths):
     assert len(shard.document(1)) == 0 and (shard.document(2) == ids[1000:]).all()
 
 
+@pytest.mark.parametrize("tokens", [1, 50, 10_000])
+def test_documents_decoded_together(monkeypatch, tokens):
+    monkeypatch.setattr(tokenstore, "READ_TOKENS", tokens)
+    r = np.random.RandomState(1)
+    counts = [0, 3, 0, 700, 1, 49, 50, 51, 0]
+    ids = r.randint(0, 65536, sum(counts)).astype(np.uint32)
+    shard = tokenstore.Shard(b"".join(tokenstore.shard_bytes(range(len(counts)), counts, ids)))
+    got = list(tokenstore.documents(shard))
+    assert [len(g) for g in got] == counts and np.concatenate(got).tolist() == ids.tolist()
+    assert all((g == shard.document(k)).all() for k, g in enumerate(got))
+
+
 def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer
 

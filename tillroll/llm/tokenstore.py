@@ -9,6 +9,7 @@ bitmap, so the place in the next level is one addition and one popcount away.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import struct
@@ -151,118 +152,134 @@ def shard_bytes(
 
 # ---------------------------------------------------------------- encoding
 
-_UNSAFE = r"^ | $| [\s\p{Z}\x{1c}-\x{1f}\x{85}]|[\s\p{Z}\x{1c}-\x{1f}\x{85}] "
-_held: dict[tuple[str, bool], tuple[object, dict[str, bytes], np.ndarray, str | None]] = {}
-#: Pieces a Python worker remembers between batches, at most.
-REMEMBERED = 200_000
+_WHITE = r"[\s\x{0b}\p{Z}\x{1c}-\x{1f}\x{85}]"
+_UNSAFE = f"^ | $| {_WHITE}|{_WHITE} "
+_held: dict[tuple[str, bool], _Encoder] = {}
+#: Words a Python worker remembers between batches, at most, and the length in bytes that they stay below.
+REMEMBERED = 500_000
+REMEMBERED_BYTES = 40
 
 
-def _tokenizer(path: str, special: bool = True):
-    """Tokenizer, remembered pieces, ids that open with a blank, and a pattern of special literals.
+class _Encoder:
+    """The library's tokenizer, and words whose ids a Python worker remembers between batches.
 
     special is the library's default: a text's literal of an added token becomes
-    that token. Without it, it is spelled out like other text, and the pattern is None.
+    that token. Without it, it is spelled out like other text, and the pattern
+    of literals is None.
     """
-    if (path, special) not in _held:
+
+    def __init__(self, path: str, special: bool) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = not special
-        tokenizer.model._resize_cache(0)  # pieces come once each, so its cache only costs
-        vocabulary = tokenizer.get_vocab()
-        opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = not special
+        self.tokenizer.model._resize_cache(0)  # words come once each, so its cache only costs
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a blank
         for token, k in vocabulary.items():
-            opens[k] = token.startswith("\u0120")  # a blank in byte-level spelling
-        literals = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if special else []
-        pattern = "|".join(map(re.escape, literals)) or None
-        _held[path, special] = (tokenizer, {}, opens, pattern)
+            self.opens[k] = token.startswith("\u0120")  # a blank in byte-level spelling
+        literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        self.pattern = "|".join(map(re.escape, literals)) or None
+        self.known = pa.array([], pa.string())
+        self.known_ids = pa.array([], pa.large_binary())
+        self.known_uses = np.empty(0, np.int64)
+
+    def whole(self, texts: list[str]) -> pa.Array:
+        """The ids of each text as uint16 bytes."""
+        out = []
+        for at in range(0, len(texts), 1000):
+            done = self.tokenizer.encode_batch_fast(texts[at : at + 1000], add_special_tokens=False)
+            out += [np.array(e.ids, np.uint16).tobytes() for e in done]
+        return pa.array(out, pa.large_binary())
+
+    def words(self, words: pa.Array) -> pa.Array:
+        """The ids, as uint16 bytes, of each word with a blank before it.
+
+        The words hold no blank, no white space at either end and no literal.
+        They are joined, many to a text: only the first id of a word begins
+        with a blank, so the ids fall apart again.
+        """
+        out = [pa.array([], pa.large_binary())]
+        for at in range(0, len(words), 20_000):
+            some = words.slice(at, 20_000)
+            ends = np.append(np.arange(0, len(some), 200), len(some))
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), some), " ").to_pylist()
+            done = self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.uint16) for e in done])
+            cuts = np.append(np.flatnonzero(self.opens[ids]), len(ids)) * 2
+            if len(cuts) != len(some) + 1:
+                raise ValueError("the vocabulary does not keep a blank with the word after it")
+            out.append(pa.Array.from_buffers(
+                pa.large_binary(), len(some), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(ids)]))
+        return pa.concat_arrays(out)
+
+    def remember(self, words: pa.Array, ids: pa.Array, uses: np.ndarray) -> None:
+        """Add words that are not known; of too many, the most used half of the limit stays."""
+        short = pc.binary_length(words).to_numpy() < REMEMBERED_BYTES
+        words, ids = words.filter(pa.array(short)), ids.filter(pa.array(short))
+        self.known = pa.concat_arrays([self.known, words])
+        self.known_ids = pa.concat_arrays([self.known_ids, ids])
+        self.known_uses = np.concatenate([self.known_uses, uses[short]])
+        if len(self.known) > REMEMBERED:
+            stay = np.sort(np.argsort(-self.known_uses, kind="stable")[: REMEMBERED // 2])
+            self.known, self.known_ids = self.known.take(pa.array(stay)), self.known_ids.take(pa.array(stay))
+            self.known_uses = self.known_uses[stay]
+
+
+def _encoder(path: str, special: bool = True) -> _Encoder:
+    if (path, special) not in _held:
+        _held[path, special] = _Encoder(path, special)
     return _held[path, special]
 
 
-def _encode_pieces(pieces: list[str], path: str, special: bool = True) -> list[bytes]:
-    """The ids of each piece as uint16 bytes.
-
-    Pieces that are a blank and a word are joined, many to a text: only the
-    first id of such a piece begins with a blank, so the ids fall apart again.
-    """
-    tokenizer, _, opens, pattern = _tokenizer(path, special)
-    literal = re.compile(pattern).search if pattern else None
-    out: list[bytes] = [b""] * len(pieces)
-    joined = [k for k, p in enumerate(pieces)
-              if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace()
-              and " " not in p[1:] and not (literal and literal(p))]
-    for at in range(0, len(joined), 20_000):
-        some = joined[at : at + 20_000]
-        texts = ["".join([pieces[k] for k in some[i : i + 200]]) for i in range(0, len(some), 200)]
-        done = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, np.uint16) for e in done])
-        cuts = np.append(np.flatnonzero(opens[ids]), len(ids)) * 2
-        if len(cuts) != len(some) + 1:
-            raise ValueError("the vocabulary does not keep a blank with the word after it")
-        data = ids.tobytes()
-        for k, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            out[k] = data[a:b]
-    others = sorted(set(range(len(pieces))) - set(joined))
-    for at in range(0, len(others), 1000):
-        some = others[at : at + 1000]
-        done = tokenizer.encode_batch_fast([pieces[k] for k in some], add_special_tokens=False)
-        for k, e in zip(some, done, strict=True):
-            out[k] = np.array(e.ids, np.uint16).tobytes()
-    return out
-
-
 def encode_texts(texts: pa.Array, path: str, special: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another as uint16, and the number of ids of each text.
 
     The vocabulary's pattern starts a new piece at a single blank between two
     characters that are not blank, so texts are cut there, and each distinct
-    piece is encoded once. Texts with other runs of white space are encoded whole,
+    word is encoded once. Texts with other runs of white space are encoded whole,
     and so are, with special, those that hold the literal of an added token.
     """
-    _, known, _, pattern = _tokenizer(path, special)
+    encoder = _encoder(path, special)
     texts = pc.fill_null(texts, "")
-    unsafe = pc.match_substring_regex(texts, f"{_UNSAFE}|{pattern}" if pattern else _UNSAFE)
+    pattern = f"{_UNSAFE}|{encoder.pattern}" if encoder.pattern else _UNSAFE
+    unsafe = pc.match_substring_regex(texts, pattern)
     lists = pc.if_else(unsafe, pa.scalar([""], pa.list_(pa.string())), pc.split_pattern(texts, " "))
-    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = lists.flatten()
-    first = np.zeros(len(flat), bool)
-    first[(np.cumsum(counts) - counts)[counts > 0]] = True
-    whole = unsafe.to_numpy(zero_copy_only=False)
-
-    coded = flat.dictionary_encode()
-    codes = coded.indices.to_numpy().astype(np.int64)
-    names = coded.dictionary.to_pylist()
-    m = len(names)
-    # A text's first piece has no blank before it, so it is another piece than elsewhere.
-    starts, start_codes = np.unique(codes[first], return_inverse=True)
-    codes[first] = m + start_codes
-    pieces = [" " + name for name in names] + [names[k] for k in starts]
-    codes_whole = np.flatnonzero(whole)
-    pieces += texts.filter(unsafe).to_pylist()
-    begin = (np.cumsum(counts) - counts)[codes_whole]
-    codes[begin] = m + len(starts) + np.arange(len(codes_whole))
-
-    encoded: list[bytes | None] = [known.get(p) for p in pieces]
-    missing = [k for k, e in enumerate(encoded) if e is None]
-    for k, ids_of in zip(missing, _encode_pieces([pieces[k] for k in missing], path, special), strict=True):
-        encoded[k] = ids_of
-    if len(known) < REMEMBERED:
-        uses = np.bincount(codes, minlength=len(pieces))
-        for k in missing:
-            if uses[k] > 1 and len(pieces[k]) < 40:
-                known[pieces[k]] = encoded[k]
-    sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 2
-    ids = np.frombuffer(b"".join(encoded), np.uint16)
-    starts_at = np.cumsum(sizes) - sizes
-    each = sizes[codes]
-    ends = np.cumsum(each)
-    total = int(ends[-1]) if len(ends) else 0
-    order = np.arange(total) + np.repeat(starts_at[codes] - (ends - each), each)
-    owner = np.repeat(np.arange(len(counts)), counts)
-    return ids[order], np.bincount(owner, weights=each, minlength=len(counts)).astype(np.int64)
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+    begins = np.append(0, ends)[: len(ends)]  # every text has a first word, be it empty
+    coded = lists.flatten().dictionary_encode()
+    codes, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+    # A text's first word has no blank before it, so its ids are others than elsewhere.
+    first, first_codes = np.unique(codes[begins], return_inverse=True)
+    uses = np.bincount(codes, minlength=len(names)) - np.bincount(codes[begins], minlength=len(names))
+    place = pc.fill_null(pc.index_in(names, value_set=encoder.known), -1).to_numpy().astype(np.int64)
+    new = np.flatnonzero((place < 0) & (uses > 0))
+    encoder.known_uses[place[place >= 0]] += uses[place >= 0]
+    words = names.take(pa.array(new))
+    word_ids = encoder.words(words)
+
+    # One table of ids: remembered words, new words, first words, whole texts.
+    place[new] = len(encoder.known) + np.arange(len(new))
+    codes = place[codes]
+    at_first = len(encoder.known) + len(new)
+    codes[begins] = at_first + first_codes
+    whole = np.flatnonzero(unsafe.to_numpy(zero_copy_only=False))
+    codes[begins[whole]] = at_first + len(first) + np.arange(len(whole))
+    ids_of = pa.concat_arrays([
+        encoder.known_ids, word_ids,
+        encoder.whole(names.take(pa.array(first)).to_pylist()), encoder.whole(texts.filter(unsafe).to_pylist()),
+    ])
+    encoder.remember(words, word_ids, uses[new])
+
+    taken = ids_of.take(pa.array(codes))
+    _, offsets, data = taken.buffers()
+    at = np.frombuffer(offsets, np.int64, len(taken) + 1) // 2
+    ids = np.frombuffer(data, np.uint16, at[-1]) if data else np.empty(0, np.uint16)
+    return ids, at[ends] - at[begins]
 
 
 def encode(
@@ -399,6 +416,21 @@ def shards(spark: SparkSession, folder: str) -> DataFrame:
     return files.withColumn("before", F.coalesce(F.sum("tokens").over(ahead), F.lit(0)))
 
 
+#: Tokens decoded at once where all documents of a file are read, about.
+READ_TOKENS = 1 << 18
+
+
+def documents(shard: Shard) -> Iterator[np.ndarray]:
+    """The ids of each document in turn, as little-endian uint32; small documents are decoded together."""
+    offsets, k = shard.offsets, 0
+    while k < len(shard.doc_ids):
+        stop = max(k + 1, int(np.searchsorted(offsets, offsets[k] + READ_TOKENS, side="right")) - 1)
+        ids = shard.slice(int(offsets[k]), int(offsets[stop])).astype("<u4")
+        for a, b in itertools.pairwise((offsets[k : stop + 1] - offsets[k]).tolist()):
+            yield ids[a:b]
+        k = stop
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the files."""
 
@@ -408,8 +440,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
             for name, before in zip(batch["name"].to_pylist(), batch["before"].to_pylist(), strict=True):
                 with store.open_input_file(f"{top}/shards/{name}") as file:
                     shard = Shard(file.read())
-                sums = [zlib.crc32(shard.document(k).astype("<u4").tobytes())
-                        for k in range(len(shard.doc_ids))]
+                sums = [zlib.crc32(ids) for ids in documents(shard)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(shard.doc_ids, mask=shard.has_id == 0),
